@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,7 +30,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
     if not batch.num_rows:
         return
     texts = batch.column(batch.schema.get_field_index(column))
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes.astype(np.int64))
     start = 0
     while start < batch.num_rows:
@@ -41,7 +42,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
 
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes of all rows end to end, n + 1 offsets); nulls are empty."""
-    column = pa.compute.fill_null(column, "").cast(pa.large_string())
+    column = pc.fill_null(column, "").cast(pa.large_string())
     _, offsets, data = column.buffers()
     bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
