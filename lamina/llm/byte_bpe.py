@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lamina.llm.common import slices
-from lamina.llm.pieces import PieceMemo
+from lamina.llm.pieces import PieceMemo, piece_encoder
 from lamina.llm.token_counts import byte_characters
 
 
@@ -41,16 +41,14 @@ class ByteBpe:
         self.check = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         byte_of = {c: b for b, c in to_char.items()}
         self.bytes_of = {i: bytes(map(byte_of.__getitem__, t)) for t, i in self.tokenizer.get_vocab().items()}
-        self.memo = PieceMemo(self._encode)
-
-    def _encode(self, pieces: list[str]) -> list[tuple[list[int], str]]:
-        out = []
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids = found.ids
-            if ids != (exact := self.check.encode_ordinary(piece)):
-                ids = exact
-            out.append((ids, ",".join(map(str, ids))))
-        return out
+        self.encode = piece_encoder(self.tokenizer)
+        self.memo = PieceMemo(self._piece)
+
+    def _piece(self, piece: str) -> tuple[list[int], str]:
+        ids = self.encode(piece)
+        if ids != (exact := self.check.encode_ordinary(piece)):
+            ids = exact
+        return ids, ",".join(map(str, ids))
 
     def ids(self, text: str) -> list[int]:
         return list(chain.from_iterable(x[0] for x in self.memo.of(text)))

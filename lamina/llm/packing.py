@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import slices
-from lamina.llm.pieces import PieceMemo
+from lamina.llm.pieces import PieceMemo, piece_encoder
 
 
 class Ids:
@@ -29,11 +29,9 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.memo = PieceMemo(self._encode)
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        encode = piece_encoder(self.tokenizer)
+        self.memo = PieceMemo(lambda piece: np.array(encode(piece), "<u4").tobytes())
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def of(self, text: str) -> bytes:
         if any(s in text for s in self.special):  # rare: no piece may hold part of a special token

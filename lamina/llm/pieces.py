@@ -1,8 +1,9 @@
 """Encoding by the tokenizers library, once for each distinct piece of text.
 
-A piece is a run of characters without white space, with the space before it, or a run of white
-space. The split of byte-level tokenizers cuts wherever a piece ends, and looks beyond no piece: so
-the ids of a text are the ids of its pieces end to end, and words that return cost one look-up.
+A piece is a Latin word with the space before it, another run of characters without white space with
+the space before it, or a run of white space. The split of byte-level tokenizers cuts wherever a
+piece ends, and looks beyond no piece: so the ids of a text are the ids of its pieces end to end, and
+words that return cost one look-up.
 """
 
 from __future__ import annotations
@@ -10,28 +11,51 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
+from typing import Any
 
 #: Unicode's white space, as the tokenizers' patterns take it.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-PIECE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: Letters in every version of Unicode; what follows a piece of them must be no letter or apostrophe.
+LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ǿ"
+WORD = rf" ?[{LATIN}]++"
+PIECE = re.compile(rf"{WORD}(?=[.,;:!?{WHITE}]|\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+PLAIN = re.compile(WORD)
 
 
 class PieceMemo(dict):
-    """piece -> what `encode` makes of it. Beyond `most` pieces the memo starts anew, which bounds
-    memory and changes no result."""
+    """piece -> what `encode` makes of it, for the pieces met last: of two generations the older one
+    goes when the younger has `most` pieces. That bounds memory and changes no result."""
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 250_000):
+    def __init__(self, encode: Callable[[str], Any], most: int = 250_000):
         super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task on each core
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.older = encode, most, {}
+
+    def __missing__(self, piece: str) -> Any:
+        if (value := self.older.get(piece)) is None:
+            value = self.encode(piece)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = value
+        return value
 
     def of(self, text: str) -> list:
-        pieces = PIECE.findall(text)
-        try:
-            return [self[p] for p in pieces]
-        except KeyError:
-            if len(self) > self.most:
-                self.clear()
-            new = list(set(pieces).difference(self))
-            self.update(zip(new, self.encode(new), strict=True))
-            return [self[p] for p in pieces]
+        return list(map(self.__getitem__, PIECE.findall(text)))
+
+
+def piece_encoder(tokenizer) -> Callable[[str], list[int]]:
+    """The ids of one piece by a tokenizers.Tokenizer without a normaliser."""
+    from lamina.llm.token_counts import byte_characters
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task on each core
+    split, merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+    to_char = byte_characters()
+    table, space = [to_char[b] for b in range(256)], to_char[ord(" ")]
+
+    def encode(piece: str) -> list[int]:
+        if not PLAIN.fullmatch(piece):
+            return [t.id for name, _ in split(piece) for t in merge(name)]
+        name = piece.replace(" ", space) if piece.isascii() else "".join([table[b] for b in piece.encode()])
+        return [t.id for t in merge(name)]
+
+    return encode
