@@ -75,7 +75,9 @@ class ByteBpe:
         return [(int(character[a]), int(character[b - 1]) + 1) for a, b in zip(starts, ends, strict=True)]
 
 
-byte_bpe = functools.lru_cache(maxsize=2)(ByteBpe)
+@functools.lru_cache(maxsize=2)
+def byte_bpe(rank_path: str, pattern: str) -> ByteBpe:
+    return ByteBpe(rank_path, pattern)
 
 
 def encode(df: DataFrame, rank_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:

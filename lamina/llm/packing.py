@@ -39,7 +39,9 @@ class Ids:
         return b"".join(self.memo.of(text))
 
 
-ids_of = functools.lru_cache(maxsize=2)(Ids)
+@functools.lru_cache(maxsize=2)
+def ids_of(tokenizer_path: str) -> Ids:
+    return Ids(tokenizer_path)
 
 
 class TournamentTree:
