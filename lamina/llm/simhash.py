@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import materialised, slices
@@ -69,6 +69,7 @@ def parts(free: list[int], n: int) -> list[int]:
 
 
 def signed(mask: int) -> int:
+    """The long with these 64 bits."""
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
@@ -147,6 +148,8 @@ def join(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
 def links(distinct: DataFrame, budget: int = 3, most: int = 4096, buffer_rows: int = 1 << 16) -> DataFrame:
     """(node, other): enough links between fingerprints within budget to connect all that are."""
     blocks = budget + 1
+    if most < 1 << blocks:
+        raise ValueError("groups must be allowed as many members as blocks can tell apart")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -185,19 +188,30 @@ def links(distinct: DataFrame, budget: int = 3, most: int = 4096, buffer_rows: i
     while True:
         large = materialised(rows.groupBy("mask", "value").count().where(F.col("count") > most).select("mask", "value"))
         free = {m | p: [b for b in range(BITS) if not (m | p) >> b & 1] for m, ps in masks.items() for p in ps}
-        if not large.head(1) or not any(free.values()):
+        if not large.head(1):
             ready = joined(rows)
             return ready if out is None else out.unionAll(ready)
         ready = joined(rows.join(large, ["mask", "value"], "left_anti"))
         out = ready if out is None else out.unionAll(ready)
-        masks = {m: parts(bits, blocks) for m, bits in free.items() if bits}
-        rows = keyed(rows.join(large, ["mask", "value"], "left_semi").select("mask", "fp"), masks)
+        # A group with b bits free has at most 2 ** b members; one that is too large has a bit for each block.
+        masks = {m: parts(bits, blocks) for m, bits in free.items() if 1 << len(bits) > most}
+        split = rows.join(large, ["mask", "value"], "left_semi").select("mask", "fp").distinct()
+        rows = keyed(materialised(split), masks)
 
 
 def keyed(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
     """(mask, value, fp): each row once for each larger mask that its mask is split into."""
-    further: Column = F.create_map(*(x for m, ps in masks.items() for x in (F.lit(signed(m)), F.array(*(F.lit(signed(m | p)) for p in ps)))))
-    return rows.select("fp", F.explode(further[F.col("mask")]).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
+    larger = {signed(m): np.array([m | p for p in ps], np.uint64).view(np.int64) for m, ps in masks.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old, fp = (c.to_numpy() for c in batch.columns)
+            for m in np.unique(old):
+                own = np.repeat(fp[old == m], len(larger[int(m)]))
+                mask = np.tile(larger[int(m)], int((old == m).sum()))
+                yield pa.RecordBatch.from_arrays([pa.array(mask), pa.array(own & mask), pa.array(own)], ["mask", "value", "fp"])
+
+    return rows.select("mask", "fp").mapInArrow(run, "mask long, value long, fp long")
 
 
 def groups(marked: DataFrame, budget: int = 3, id_column: str = "doc_id") -> DataFrame:
