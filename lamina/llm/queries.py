@@ -50,6 +50,27 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), budget=3, shingle_words=3)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.warc import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "pages"), least_bytes=100)
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages
+), heads AS (
+  SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest
+), r AS (
+  SELECT p.*, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+  FROM p LEFT JOIN heads USING (digest)
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM r
+"""
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,6 +79,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.mpegts import text_media
+
+    return text_media(table(spark, sf_dir, "documents"), block=576, tail=32)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.packing import pack
 
@@ -69,7 +96,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_exact_topk": op2_exact_topk,
         "op3_simhash": op3_simhash,
+        "op5_warc": op5_warc,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_mpegts": op7_mpegts,
         "op8_packing": op8_packing,
     }
 
@@ -77,4 +106,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_topk": OP2_SQL,
+        "op5_warc": OP5_SQL,
     }
