@@ -50,6 +50,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), budget=3, shingle_words=3)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.warc import deduplicated
 
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_exact_topk": op2_exact_topk,
         "op3_simhash": op3_simhash,
+        "op4_license_scan": op4_license_scan,
         "op5_warc": op5_warc,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_mpegts": op7_mpegts,
@@ -104,7 +111,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from lamina.llm.licenses import scan_sql
+
     return {
         "op2_exact_topk": OP2_SQL,
+        "op4_license_scan": scan_sql(),
         "op5_warc": OP5_SQL,
     }
