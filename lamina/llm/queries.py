@@ -97,6 +97,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=1)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.substring import SubstringDedup
+
+    found = SubstringDedup(least_sentences=2, least_words=12, long_words=25).dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_sentences", "n_removed", "removed", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -107,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_mpegts": op7_mpegts,
         "op8_packing": op8_packing,
+        "op9_substring_dedup": op9_substring_dedup,
     }
 
 
