@@ -104,6 +104,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", "n_removed", "removed", "text")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -115,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mpegts": op7_mpegts,
         "op8_packing": op8_packing,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_language_id": op10_language_id,
     }
 
 
