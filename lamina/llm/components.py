@@ -26,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("child").alias("node"), F.col("parent").alias("root"))
         state = print_of
         both = edges.select(F.col("child").alias("at"), F.col("parent").alias("near")).unionAll(edges.select(F.col("parent").alias("at"), F.col("child").alias("near")))
-        least = both.groupBy("at").agg(F.min("near").alias("least")).select("at", F.least("at", "least").alias("least"))
+        # Kept apart from the join, or the partition of a node with many links could not be split.
+        least = materialised(both.groupBy("at").agg(F.min("near").alias("least")).select("at", F.least("at", "least").alias("least")))
         large = edges.join(least, edges["parent"] == least["at"]).select("child", F.col("least").alias("parent")).distinct()
         first = large.groupBy(F.col("child").alias("at")).agg(F.min("parent").alias("least"))
         met = large.join(first, large["child"] == first["at"])

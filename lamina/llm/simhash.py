@@ -222,7 +222,8 @@ def groups(marked: DataFrame, budget: int = 3, id_column: str = "doc_id") -> Dat
     roots = components(links(distinct.select("fp"), budget))
     labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("label"), "first")
     labelled = materialised(labelled)
-    keepers = labelled.groupBy(F.col("label").alias("of_label")).agg(F.min("first").alias("keeper"))
+    # Kept apart from the join, or a large component's partition could not be split.
+    keepers = materialised(labelled.groupBy(F.col("label").alias("of_label")).agg(F.min("first").alias("keeper")))
     return labelled.join(keepers, labelled["label"] == keepers["of_label"]).select("fp", F.col("keeper.id").alias("component_id"), "keeper")
 
 

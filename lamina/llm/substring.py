@@ -120,7 +120,8 @@ class SubstringDedup:
         spans = self.spans(df)
         kept = materialised(spans.join(returning, spans["high"] == returning["again"], "left_semi"))
         where = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "text_hash", "place")
-        first = kept.groupBy(F.col("high").alias("of_high"), F.col("low").alias("of_low")).agg(F.min(where).alias("first"))
+        # Kept apart from the join, or no partition of the join could be split.
+        first = materialised(kept.groupBy(F.col("high").alias("of_high"), F.col("low").alias("of_low")).agg(F.min(where).alias("first")))
         met = kept.join(first, (kept["high"] == first["of_high"]) & (kept["low"] == first["of_low"])).where(where != F.col("first"))
         return met.select("doc", "text_hash", "place").groupBy("doc", "text_hash").agg(F.collect_set("place").alias("places"))
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.llm.common import materialised
+
 CRLF, END = "\r\n", "\r\n\r\n"
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,7 +42,8 @@ def resolved(pages: DataFrame, least_bytes: int, id_column: str, url_column: str
     payload = F.coalesce(html_column, F.lit(""))
     page = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     heads = page.where(F.octet_length("payload") >= least_bytes).groupBy(F.col("digest").alias("of_digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    returning = heads.where("n > 1 AND first IS NOT NULL").select("of_digest", "first")
+    # Kept apart from the join, or the partition of a payload that many pages share could not be split.
+    returning = materialised(heads.where("n > 1 AND first IS NOT NULL").select("of_digest", "first"))
     joined = page.join(returning, page["digest"] == returning["of_digest"], "left")
     return joined.select("page_id", "url", "payload", "digest", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
