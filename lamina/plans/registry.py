@@ -2,10 +2,265 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import tempfile
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lamina.operators import audit, stats
+from lamina.operators.query import query
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+HOT_FROM, WARM_FROM = dt.datetime(2024, 1, 25), dt.datetime(2024, 1, 15)
+TIER_SQL = "CASE WHEN ts >= TIMESTAMP '2024-01-25 00:00:00' THEN 'hot' WHEN ts >= TIMESTAMP '2024-01-15 00:00:00' THEN 'warm' ELSE 'cold' END"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = {"event_type": ["click", "view"], "ts": {">=": dt.datetime(2024, 1, 10)}, "value": {">": 45.0}}
+    return query(table(spark, sf_dir, "events"), wanted, limit=10, sort_by="value", ascending=False, tie_break=["event_id"])
+
+
+def events(**kwargs) -> Query:
+    return lambda spark, sf_dir: query(table(spark, sf_dir, "events"), **kwargs)
+
+
+def lineitem(**kwargs) -> Query:
+    return lambda spark, sf_dir: query(table(spark, sf_dir, "lineitem"), **kwargs)
+
+
+def tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("tier", stats.tier_of("ts", HOT_FROM, WARM_FROM))
+
+
+def sort_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The position of each row in a global sort, without a window over one partition: rows are
+    range-partitioned and numbered within, and partitions' sizes give the offsets."""
+    ordered = query(table(spark, sf_dir, "events"), sort_by="value", tie_break=["event_id"], columns=["event_id", "value"])
+    placed = ordered.select("event_id", "value", F.monotonically_increasing_id().alias("_id"))
+    numbered = placed.select("event_id", "value", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_at"))
+    from pyspark.sql import Window
+
+    sizes = numbered.groupBy(F.col("_part").alias("_of")).agg(F.count("*").alias("_size"))  # a row a partition
+    before = sizes.select("_of", F.coalesce(F.sum("_size").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return numbered.join(F.broadcast(before), F.col("_part") == F.col("_of")).select("event_id", "value", (F.col("_before") + F.col("_at") + 1).cast("int").alias("rn"))
+
+
+def limit_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(filters={"event_type": "purchase"}, limit=100)(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+def merge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of each tier, then the best of those."""
+    rows = tiered(spark, sf_dir).select("event_id", "value", "tier")
+    parts = [query(rows.where(F.col("tier") == t), limit=20, sort_by="value", ascending=False, tie_break=["event_id"]) for t in ("hot", "warm", "cold")]
+    return query(parts[0].unionAll(parts[1]).unionAll(parts[2]), limit=20, sort_by="value", ascending=False, tie_break=["event_id"])
+
+
+def late_materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the winners first, then their whole rows."""
+    rows = table(spark, sf_dir, "events")
+    winners = query(rows, limit=25, sort_by="value", ascending=False, tie_break=["event_id"], columns=["event_id"])
+    return rows.join(F.broadcast(winners.withColumnRenamed("event_id", "_winner")), F.col("event_id") == F.col("_winner"), "left_semi")
+
+
+def named_days(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, F.col(column).cast("string"))
+
+
+def zones(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return stats.zone_maps(table(spark, sf_dir, "events"), "ts", columns)
+
+
+def partition_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    time = F.col("ts")
+    return table(spark, sf_dir, "events").groupBy(F.date_format(time, "yyyy-MM-dd").alias("partition_key"), F.year(time).alias("y"), F.month(time).alias("m"), F.dayofmonth(time).alias("d")).agg(F.count("*").alias("n"))
+
+
+def overlapping(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    keys = table(spark, sf_dir, "events").select("event_id")
+    return keys.where("event_id < 600"), keys.where("event_id >= 400")
+
+
+def audit_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = overlapping(spark, sf_dir)
+    return audit.in_several_tiers(a.withColumn("tier", F.lit("hot")).unionAll(b.withColumn("tier", F.lit("warm"))), "event_id")
+
+
+def evict_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "events").groupBy(stats.day_of("ts").alias("k")).agg(F.count("*").alias("sz"), F.max("ts").alias("la"))
+    return stats.evict_least_recent(days, "k", "sz", "la", 1000).select(F.col("k").cast("string").alias("k"), "sz")
+
+
+def evict_oldest_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("_batch", F.expr("int(event_id div 50)"))
+    oldest = stats.evict_oldest_share(rows.select("_batch").distinct(), "_batch").withColumnRenamed("_batch", "_oldest")
+    return rows.join(oldest, F.col("_batch") == F.col("_oldest"), "left_semi").drop("_batch")
+
+
+def _moved_store(spark: SparkSession, sf_dir: str):
+    """A store that took events in four batches and moved part of them to warm and to cold."""
+    from lamina.plans.store import open_store
+
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lamina-store-")
+    store = open_store(spark, f"{base}/store-{dt.datetime.now().strftime('%H%M%S%f')}", "ts")
+    rows = table(spark, sf_dir, "events")
+    for quarter in range(4):
+        store.ingest(rows.where(F.pmod(F.hash("event_id"), F.lit(4)) == quarter))
+    store.migrate("hot")
+    store.migrate("hot")
+    store.migrate("warm", rows=1)
+    return store, rows
+
+
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _moved_store(spark, sf_dir)[0].query()
+
+
+def store_migrate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, rows = _moved_store(spark, sf_dir)
+    return store.audit(rows, "event_id")
+
+
+def store_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, _ = _moved_store(spark, sf_dir)
+    return store.query({"ts": {">=": dt.datetime(2024, 1, 10), "<": dt.datetime(2024, 1, 20)}})
+
+
+def fixture_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.sources.fixtures import simple
+
+    return simple(spark, 10_000, 5000)
+
+
+def multi_key_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query(table(spark, sf_dir, "lineitem"), sort_by=["l_shipdate", "l_extendedprice"], ascending=[True, False], tie_break=["l_orderkey", "l_linenumber"], limit=500)
+
+
+ALL = "SELECT * FROM events"
+TOP = "ORDER BY value {} NULLS LAST, event_id LIMIT {}"
+JAN = {n: dt.datetime(2024, 1, n) for n in (10, 20)}
+
+#: name -> (query, SQL)
+REGISTERED: dict[str, tuple[Query, str]] = {
+    "scan_all": (events(), ALL),
+    "filter_eq": (events(filters={"event_type": "click"}), f"{ALL} WHERE event_type = 'click'"),
+    "filter_eq_flag": (lineitem(filters={"l_linestatus": "O"}), "SELECT * FROM lineitem WHERE l_linestatus = 'O'"),
+    "filter_in": (events(filters={"event_type": ["click", "view"]}), f"{ALL} WHERE event_type IN ('click','view')"),
+    "filter_in_int": (events(filters={"user_id": [1, 2, 3, 5, 8]}), f"{ALL} WHERE user_id IN (1,2,3,5,8)"),
+    "filter_in_empty": (events(filters={"user_id": []}), f"{ALL} WHERE false"),
+    "filter_none": (events(filters={"event_type": None}), f"{ALL} WHERE false"),
+    "filter_empty": (events(filters={}), ALL),
+    "filter_range": (events(filters={"ts": {">=": JAN[10], "<": JAN[20]}}), f"{ALL} WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'"),
+    "filter_ge": (events(filters={"value": {">=": 45.0}}), f"{ALL} WHERE value >= 45.0"),
+    "filter_gt": (events(filters={"value": {">": 45.0}}), f"{ALL} WHERE value > 45.0"),
+    "filter_le": (events(filters={"value": {"<=": 10.0}}), f"{ALL} WHERE value <= 10.0"),
+    "filter_lt": (events(filters={"value": {"<": 10.0}}), f"{ALL} WHERE value < 10.0"),
+    "filter_combined": (
+        events(filters={"event_type": ["click", "view"], "ts": {">=": JAN[10]}, "value": {">": 45.0}}),
+        f"{ALL} WHERE event_type IN ('click','view') AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND value > 45.0",
+    ),
+    "filter_string_range": (events(filters={"event_type": {">=": "p", "<": "t"}}), f"{ALL} WHERE event_type >= 'p' AND event_type < 't'"),
+    "filter_string_time": (events(filters={"ts": {">=": "2024-01-10 00:00:00"}}), f"{ALL} WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'"),
+    "projection": (events(filters={"event_type": "view"}, columns=["event_id", "value"]), "SELECT event_id, value FROM events WHERE event_type = 'view'"),
+    "topk_desc_10": (events(limit=10, sort_by="value", ascending=False, tie_break=["event_id"]), f"{ALL} {TOP.format('DESC', 10)}"),
+    "topk_asc_10": (events(limit=10, sort_by="value", tie_break=["event_id"]), f"{ALL} {TOP.format('ASC', 10)}"),
+    "topk_5": (events(limit=5, sort_by="value", ascending=False, tie_break=["event_id"]), f"{ALL} {TOP.format('DESC', 5)}"),
+    "topk_50": (events(limit=50, sort_by="value", tie_break=["event_id"]), f"{ALL} {TOP.format('ASC', 50)}"),
+    "topk_filtered": (events(filters={"event_type": "click"}, limit=1000, sort_by="value", ascending=False, tie_break=["event_id"]), f"{ALL} WHERE event_type = 'click' {TOP.format('DESC', 1000)}"),
+    "topk_zero": (events(limit=0, sort_by="value"), f"{ALL} LIMIT 0"),
+    "sort_full": (sort_full, "SELECT event_id, value, CAST(row_number() OVER (ORDER BY value ASC NULLS LAST, event_id) AS INTEGER) AS rn FROM events"),
+    "sort_multi_key": (multi_key_sort, "SELECT * FROM lineitem ORDER BY l_shipdate ASC NULLS LAST, l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 500"),
+    "limit_count": (limit_count, "SELECT count(*) AS n FROM (SELECT * FROM events WHERE event_type = 'purchase' LIMIT 100) t"),
+    "merge_topk": (
+        merge_topk,
+        "SELECT event_id, value, tier FROM (SELECT event_id, value, tier, row_number() OVER (PARTITION BY tier ORDER BY value DESC NULLS LAST, event_id) AS r "
+        f"FROM (SELECT *, {TIER_SQL} AS tier FROM events) a) b WHERE r <= 20 {TOP.format('DESC', 20)}",
+    ),
+    "late_materialize": (late_materialize, f"SELECT e.* FROM events e JOIN (SELECT event_id FROM events {TOP.format('DESC', 25)}) k ON e.event_id = k.event_id"),
+    "tier_stats": (
+        lambda spark, sf_dir: stats.tier_stats(tiered(spark, sf_dir), "ts"),
+        f"SELECT {TIER_SQL} AS tier, count(*) AS total_records, count(DISTINCT CAST(ts AS DATE)) AS total_partitions, min(ts) AS min_ts, max(ts) AS max_ts FROM events GROUP BY 1",
+    ),
+    "zone_maps": (
+        lambda spark, sf_dir: named_days(zones(spark, sf_dir, "value", "user_id"), "run_id"),
+        "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, count(*) AS record_count, min(ts) AS min_ts, max(ts) AS max_ts, min(value) AS min_value, max(value) AS max_value, "
+        "min(user_id) AS min_user_id, max(user_id) AS max_user_id FROM events GROUP BY 1",
+    ),
+    "zone_prune": (
+        lambda spark, sf_dir: stats.zone_prune(zones(spark, sf_dir, "value"), [("value", ">", 200), ("value", "<=", 0.05)]).select(F.col("run_id").cast("string")),
+        "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id FROM events GROUP BY 1 HAVING max(value) > 200 AND min(value) <= 0.05",
+    ),
+    "zone_topk_runs": (
+        lambda spark, sf_dir: named_days(stats.best_zones(zones(spark, sf_dir, "value").select("run_id", "max_value"), "value", 5), "run_id"),
+        "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, max(value) AS max_value FROM events GROUP BY 1 ORDER BY max_value DESC, run_id LIMIT 5",
+    ),
+    "partition_key": (
+        partition_key,
+        "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS partition_key, CAST(year(ts) AS INT) AS y, CAST(month(ts) AS INT) AS m, CAST(day(ts) AS INT) AS d, count(*) AS n FROM events GROUP BY 1,2,3,4",
+    ),
+    "dict_encode": (
+        lambda spark, sf_dir: stats.dictionary(table(spark, sf_dir, "events"), "event_type", "event_id"),
+        "SELECT event_type, row_number() OVER (ORDER BY min(event_id)) - 1 AS code, count(*) AS n FROM events GROUP BY event_type",
+    ),
+    "tier_union_distinct": (
+        lambda spark, sf_dir: (lambda a, b: a.union(b).distinct())(*overlapping(spark, sf_dir)),
+        "SELECT event_id FROM events WHERE event_id < 600 UNION SELECT event_id FROM events WHERE event_id >= 400",
+    ),
+    "tier_intersect": (
+        lambda spark, sf_dir: (lambda a, b: a.intersect(b))(*overlapping(spark, sf_dir)),
+        "SELECT event_id FROM events WHERE event_id < 600 INTERSECT SELECT event_id FROM events WHERE event_id >= 400",
+    ),
+    "audit_missing": (
+        lambda spark, sf_dir: audit.missing(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey"),
+        "SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem",
+    ),
+    "audit_duplicates": (
+        audit_duplicates,
+        "SELECT event_id, count(DISTINCT tier) AS n_tiers FROM (SELECT event_id, 'hot' AS tier FROM events WHERE event_id < 600 "
+        "UNION ALL SELECT event_id, 'warm' AS tier FROM events WHERE event_id >= 400) t GROUP BY event_id HAVING count(DISTINCT tier) > 1",
+    ),
+    "evict_lru": (
+        evict_lru,
+        "SELECT CAST(k AS VARCHAR) AS k, sz FROM (SELECT k, sz, sum(sz) OVER (ORDER BY la, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS freed "
+        "FROM (SELECT CAST(ts AS DATE) AS k, count(*) AS sz, max(ts) AS la FROM events GROUP BY 1) a) b WHERE coalesce(freed, 0) < 1000",
+    ),
+    "evict_oldest_quarter": (
+        evict_oldest_quarter,
+        "SELECT e.* FROM events e JOIN (SELECT b FROM (SELECT b, row_number() OVER (ORDER BY b) AS r, count(*) OVER () AS n "
+        "FROM (SELECT DISTINCT CAST(floor(event_id/50) AS INT) AS b FROM events) x) y WHERE r <= greatest(1, floor(n/4))) k ON CAST(floor(e.event_id/50) AS INT) = k.b",
+    ),
+    "store_roundtrip": (store_roundtrip, ALL),
+    "store_time_range": (store_time_range, f"{ALL} WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'"),
+    "store_migrate_audit": (store_migrate_audit, "SELECT count(*) AS sent, count(*) AS found, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS duplicates FROM events"),
+    "point_lookup": (events(filters={"event_id": 42}), f"{ALL} WHERE event_id = 42"),
+    "fixture_simple": (
+        fixture_simple,
+        "SELECT TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(600*(id//5000) + id%5000 AS BIGINT)) AS \"timestamp\", "
+        "CASE (id%5000)%3 WHEN 0 THEN 'TSDS_A' WHEN 1 THEN 'TSDS_B' ELSE 'TSDS_C' END AS symbol, CAST(round(100.0+10*(id//5000)+0.01*(id%5000),2) AS DOUBLE) AS price, CAST(10+id%5000 AS BIGINT) AS volume FROM range(10000) t(id)",
+    ),
+    "windowed_counts": (
+        lambda spark, sf_dir: _windowed(spark, sf_dir),
+        "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    ),
+}
+
+
+def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.streaming.ingest import windowed_counts
+
+    return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type").select(F.col("window.start").alias("window_start"), "event_type", "n")
+
+
+def queries() -> dict[str, Query]:
+    return {name: q for name, (q, _) in REGISTERED.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in REGISTERED.items()}
