@@ -69,7 +69,7 @@ def condition(name: str, wanted: Any, kind: T.DataType, strict: bool) -> list[Co
                 continue
             if op == "is_null":
                 out.append(column.isNull() if value else column.isNotNull())
-            elif value is None:
+            elif value is None or op != "!=" and isinstance(value, float) and math.isnan(value):
                 out += never
             elif op == "!=":
                 out.append(column != constant(value, kind, name))
@@ -77,7 +77,7 @@ def condition(name: str, wanted: Any, kind: T.DataType, strict: bool) -> list[Co
                 out += [column == constant(value, kind, name), *number]
             else:
                 out.append(COMPARISONS[op](column, constant(value, kind, name)))
-                if number and (op in (">=", ">") or isinstance(value, float) and math.isnan(value)):
+                if op in (">=", ">"):
                     out += number
         return out
     if isinstance(wanted, (list, tuple, set, frozenset)):
