@@ -243,7 +243,7 @@ REGISTERED: dict[str, tuple[Query, str]] = {
     "fixture_simple": (
         fixture_simple,
         "SELECT TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(600*(id//5000) + id%5000 AS BIGINT)) AS \"timestamp\", "
-        "CASE (id%5000)%3 WHEN 0 THEN 'TSDS_A' WHEN 1 THEN 'TSDS_B' ELSE 'TSDS_C' END AS symbol, CAST(round(100.0+10*(id//5000)+0.01*(id%5000),2) AS DOUBLE) AS price, CAST(10+id%5000 AS BIGINT) AS volume FROM range(10000) t(id)",
+        "CASE (id%5000)%3 WHEN 0 THEN 'SYM_A' WHEN 1 THEN 'SYM_B' ELSE 'SYM_C' END AS symbol, CAST(round(100.0+10*(id//5000)+0.01*(id%5000),2) AS DOUBLE) AS price, CAST(10+id%5000 AS BIGINT) AS volume FROM range(10000) t(id)",
     ),
     "windowed_counts": (
         lambda spark, sf_dir: _windowed(spark, sf_dir),

@@ -29,7 +29,7 @@ def simple(spark: SparkSession, records: int, size: int | None = None) -> DataFr
     rows = _numbered(spark, records, size or batch_size(records))
     return rows.select(
         _time("600 * b + i"),
-        F.expr("element_at(array('TSDS_A', 'TSDS_B', 'TSDS_C'), int(i % 3) + 1)").alias("symbol"),
+        F.expr("element_at(array('SYM_A', 'SYM_B', 'SYM_C'), int(i % 3) + 1)").alias("symbol"),
         F.expr("round(100.0D + 10 * b + 0.01D * i, 2)").alias("price"),
         F.expr("10 + i").alias("volume"),
     )

@@ -148,7 +148,7 @@ def test_streams(spark, tmp_path):
 
 def test_fixtures_match_their_known_values(spark):
     f1 = fixtures.simple(spark, 10_000, 5000).cache()
-    assert f1.where("symbol = 'TSDS_A'").count() == 3334 and f1.select("timestamp").distinct().count() == 5600
+    assert f1.where("symbol = 'SYM_A'").count() == 3334 and f1.select("timestamp").distinct().count() == 5600
     assert f1.agg(F.max("price")).first()[0] == 159.99
     f2 = fixtures.trading(spark, 6000, 6000).cache()
     assert f2.where("side = 'buy'").count() == 3000 and f2.where("symbol = 'BTC/USD' AND side = 'sell'").count() == 0
