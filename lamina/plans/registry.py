@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators import audit, stats
 from lamina.operators.query import query
+from lamina.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 HOT_FROM, WARM_FROM = dt.datetime(2024, 1, 25), dt.datetime(2024, 1, 15)
@@ -107,9 +107,7 @@ def _moved_store(spark: SparkSession, sf_dir: str):
     """A store that took events in four batches and moved part of them to warm and to cold."""
     from lamina.plans.store import open_store
 
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lamina-store-")
-    store = open_store(spark, f"{base}/store-{dt.datetime.now().strftime('%H%M%S%f')}", "ts")
+    store = open_store(spark, shared_folder(spark, "store"), "ts")
     rows = table(spark, sf_dir, "events")
     for quarter in range(4):
         store.ingest(rows.where(F.pmod(F.hash("event_id"), F.lit(4)) == quarter))
