@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import langid
-from lamina.llm.common import table
+from lamina.llm.common import shared_folder, table
 from lamina.llm.packing import pack
 from lamina.llm.queries import vocabulary
 from lamina.llm.simhash import keep_first
 from lamina.llm.substring import SubstringDedup
-from lamina.llm.warc import shared_folder
 from lamina.plans.workers import let_workers_import
 
 
