@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import materialised
+from lamina.llm.common import materialised, shared_folder
 
 CRLF, END = "\r\n", "\r\n\r\n"
 VERSION = "WARC/1.1"
@@ -26,17 +25,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all machines see: below spark.checkpoint.dir, or where checkpoints go."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="lamina-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def resolved(pages: DataFrame, least_bytes: int, id_column: str, url_column: str, html_column: str) -> DataFrame:
     """(page_id, url, payload, digest, refers_to): refers_to is set for revisits only."""
     payload = F.coalesce(html_column, F.lit(""))
