@@ -69,8 +69,11 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
         code = code * np.uint64(0x100000001B3) + spread[k : k + starts[-1]] + np.uint64(1)
         if k + 1 in ORDERS:
             mixed = (code + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-            out.append((mixed >> np.uint64(64 - bits)).astype(np.int64))
-    return np.stack(out), starts, lettered
+            out.append((mixed >> np.uint64(64 - bits)).astype(np.int32))
+    grams = np.stack(out)
+    for back in range(1, max(ORDERS)):  # those that would reach the next text: spaces, as at the end
+        grams[:, starts[1:] - back] = grams[:, -1:]
+    return grams, starts, lettered
 
 
 def sparse_rows(found: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -187,15 +190,17 @@ def document_frequencies(rows: DataFrame, bits: int, slice_bytes: int) -> tuple[
     return int(out[-1]), out[:-1]
 
 
-def samples(rows: DataFrame, settings: Settings, languages: int, slice_bytes: int) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
+def samples(rows: DataFrame, settings: Settings, languages: dict[str, int], slice_bytes: int) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
     """(language, draw, features, shares) of a bounded sample: as many rows of each language as the
-    bounds allow, drawn by a hash of the row. Ranks are cut before rows are shuffled."""
-    each = max(1, (settings.fit_rows + settings.calibration_rows) // max(1, languages))
+    bounds allow, drawn by a hash of the row. languages: with their rows."""
+    each = max(1, (settings.fit_rows + settings.calibration_rows) // len(languages))
     draw = F.xxhash64("id", "text")
-    first = lambda of, *by: of.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("draw", "id"))).where(F.col("rank") <= each)
-    # A language may have most rows: the first of each of 64 lots, then the first of all.
-    lots = first(rows.select("id", "lang", draw.alias("draw"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("lot")), "lang", "lot")
-    ranked = first(lots, "lang")
+    # Hashes below a language's threshold hold a little more than its rows of the sample, however many
+    # rows it has; only those are ranked.
+    share = {lang: min(1.0, (1.5 * each + 50) / n) for lang, n in languages.items()}
+    threshold = F.create_map(*(F.lit(x) for lang, s in share.items() for x in (lang, min((1 << 63) - 1, int(s * (1 << 64)) - (1 << 63)))))
+    low = rows.select("id", "lang", draw.alias("draw")).where(F.col("draw") <= threshold[F.col("lang")])
+    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))).where(F.col("rank") <= each)
     drawn = F.broadcast(ranked.select(F.col("id").alias("drawn"), "draw"))  # at most the two bounds together
     bits = settings.bits
     chosen = rows.join(drawn, (rows["id"] == drawn["drawn"]) & (draw == drawn["draw"])).select("text", "lang", drawn["draw"])
@@ -213,15 +218,16 @@ def samples(rows: DataFrame, settings: Settings, languages: int, slice_bytes: in
     return sorted(rows_, key=lambda r: (r[1], r[0]))
 
 
-def fit(df: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", slice_bytes: int = 2 << 20) -> Model:
+def fit(df: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", slice_bytes: int = 1 << 20) -> Model:
     """Learns from the rows that are not held out. Without any, a model that knows no language."""
     rows = learning_rows(df, settings, id_column, text_column, lang_column)
-    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    rows_of = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    languages = sorted(rows_of)
     if not languages:
         return Model((), np.zeros((1 << settings.bits, 0), np.float32), np.zeros(0), 1.0, settings.bits)
     documents, frequency = document_frequencies(rows, settings.bits, slice_bytes)
     idf = np.log((1 + documents) / (1 + frequency)) + 1
-    drawn = samples(rows, settings, len(languages), slice_bytes)
+    drawn = samples(rows, settings, rows_of, slice_bytes)
     labels = np.array([languages.index(r[0]) for r in drawn])
     share = settings.calibration_rows / (settings.fit_rows + settings.calibration_rows)
     fitted = np.floor((np.arange(len(drawn)) + 1) * share) == np.floor(np.arange(len(drawn)) * share)
@@ -239,19 +245,19 @@ def fit(df: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id
     return Model(tuple(languages), (weights[:-1] * (idf * scale)[:, None]).astype(np.float32), weights[-1], temperature(logits, labels[rest]), settings.bits)
 
 
-def annotate(df: DataFrame, model: Model, text_column: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
-    """The rows of df with lang_pred and score; columns of those names are replaced."""
-    df = df.drop("lang_pred", "score")
+def annotate(df: DataFrame, model: Model, text_column: str = "text", names: tuple[str, str] = ("lang_pred", "score"), slice_bytes: int = 1 << 20) -> DataFrame:
+    """The rows of df with two more columns, language and score; columns of those names are replaced."""
+    df = df.drop(*names)
     known = df.sparkSession.sparkContext.broadcast(model)  # 2 ** bits rows of one weight a language
-    at, names = df.columns.index(text_column), [*df.columns, "lang_pred", "score"]
+    at, columns = df.columns.index(text_column), [*df.columns, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_column, slice_bytes):
                 languages, scores = known.value.predict(*flat_text(batch.column(at)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], columns)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def predict(df: DataFrame, model: Model, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -267,8 +273,8 @@ def predict(df: DataFrame, model: Model, settings: Settings = Settings(), id_col
 def kept(df: DataFrame, model: Model, least_score: float = 0.3, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """The rows of df whose language can be told: not `und`, and of at least that score. A missing
     language is filled in; columns stay as they are."""
-    told = annotate(df, model, text_column).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
-    return told.select(*(F.coalesce(lang_column, "lang_pred").alias(c) if c == lang_column else c for c in df.columns))
+    told = annotate(df, model, text_column, ("_told", "_certainty")).where((F.col("_told") != UNDETERMINED) & (F.col("_certainty") >= least_score))
+    return told.select(*(F.coalesce(lang_column, "_told").alias(c) if c == lang_column else c for c in df.columns))
 
 
 def identify(df: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
