@@ -13,34 +13,40 @@ pairs; the components of those links are the components of all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import materialised, slices
 from lamina.llm.components import components
 
-BITS = 64
+BITS, BAND_BITS = 64, 48
 
 
-def fingerprint(text: str, shingle_words: int = 3) -> int:
-    """Bit b is 1 if more than half of the shingles' XXH64 (seed 42) have it; 0 without words.
-    Words: runs of other than ASCII white space, A-Z in lower case."""
+def shingle_hashes(text: str, shingle_words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of that many words, repeats included; of the whole, if it has
+    fewer; none without words. Words: runs of other than ASCII white space, A-Z in lower case."""
     import xxhash
 
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     k = min(shingle_words, len(words))
     stops = ends[k - 1 :].tolist()
     starts = [0, *(ends[: len(words) - k] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit b is 1 if more than half of the hashes have it; 0 without hashes."""
+    if not len(h):
+        return 0
     octets = h.view(np.uint8).reshape(-1, 8)
     if len(h) < 512:
         ones = np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0)
@@ -50,6 +56,20 @@ def fingerprint(text: str, shingle_words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str, shingle_words: int = 3) -> int:
+    return majority(shingle_hashes(text, shingle_words))
+
+
+def words_of_bits(h: np.ndarray, n: int) -> list[int]:
+    """n fingerprints, as if of n hash functions: each mixes the hashes another way."""
+    out = []
+    for k in range(n):
+        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << BITS) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        out.append(majority(x * np.uint64(0xD6E8FEB86659FD93)))
+    return out
+
+
 def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 3, slice_bytes: int = 4 << 20) -> DataFrame:
     """(id, text_hash, fp) of every row; text_hash tells rows of one id apart."""
     kind = df.schema[id_column].dataType.simpleString()
@@ -73,8 +93,9 @@ def signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
-def trie_links(groups: np.ndarray, fps: np.ndarray, budget: int, most_pairs: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fp, representative) within each group; groups and fps as sorted by (group, fp).
+def trie_links(groups: np.ndarray, fps: np.ndarray, budget: int, alike: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, most_pairs: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, representative) within each group; groups and fps as sorted by (group, fp). alike
+    says of rows within the budget which are linked; without it, all are.
 
     A node is a range of the sorted fingerprints that share their leading bits; all groups' tries
     descend at once, as arrays of node pairs. A pair of small nodes is compared leaf by leaf.
@@ -99,7 +120,11 @@ def trie_links(groups: np.ndarray, fps: np.ndarray, budget: int, most_pairs: int
         if few.any():
             left, right = products(a0[few], a1[few], b0[few], b1[few])
             near = np.bitwise_count(fps[left] ^ fps[right]) <= budget
-            join(root, left[near], right[near])
+            left, right = left[near], right[near]
+            if alike is not None:
+                good = alike(left, right)
+                left, right = left[good], right[good]
+            join(root, left, right)
         if few.all():
             continue
         a0, a1, b0, b1, errors = (x[~few] for x in (a0, a1, b0, b1, errors))
@@ -118,7 +143,7 @@ def trie_links(groups: np.ndarray, fps: np.ndarray, budget: int, most_pairs: int
             kept.append([x[ok] for x in (x0, x1, y0, y1, e)])
         work.append((bit - 1, *(np.concatenate(x) for x in zip(*kept, strict=True))))
     linked = np.flatnonzero(root != np.arange(n))
-    return fps[linked], fps[root[linked]]
+    return linked, root[linked]
 
 
 def products(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,15 +170,21 @@ def join(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def links(distinct: DataFrame, budget: int = 3, most: int = 4096, buffer_rows: int = 1 << 16) -> DataFrame:
-    """(node, other): enough links between fingerprints within budget to connect all that are."""
+def links(rows: DataFrame, budget: int = 3, most: int = 4096, fixed: int = 0, check_bits: int = 0, buffer_rows: int = 1 << 16) -> DataFrame:
+    """(node, other): enough links between fingerprints within budget to connect all that are.
+
+    rows: (fp), which are the nodes themselves, or (fp, node, check_1, check_2) with each fp once:
+    then links are between nodes whose checks also differ in at most check_bits bits. Rows meet only
+    where all bits of the mask `fixed` agree.
+    """
     blocks = budget + 1
     if most < 1 << blocks:
         raise ValueError("groups must be allowed as many members as blocks can tell apart")
+    extra = [c for c in rows.columns if c != "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
-        rows = 0
+        held = 0
 
         def found(t: pa.Table) -> pa.RecordBatch:
             mask, value, fp = (t[c].to_numpy() for c in ("mask", "value", "fp"))
@@ -161,13 +192,18 @@ def links(distinct: DataFrame, budget: int = 3, most: int = 4096, buffer_rows: i
             new = np.concatenate([[True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])])
             group = np.cumsum(new)
             order = np.lexsort((fp, group))
-            a, b = trie_links(group[order], fp[order], budget)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["node", "other"])
+            node = (t["node"].to_numpy() if extra else fp.view(np.int64))[order]
+            alike = None
+            if extra:
+                checks = [t[c].to_numpy().view(np.uint64)[order] for c in ("check_1", "check_2")]
+                alike = lambda a, b: sum(np.bitwise_count(c[a] ^ c[b]).astype(np.int16) for c in checks) <= check_bits
+            a, b = trie_links(group[order], fp[order], budget, alike)
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["node", "other"])
 
         for batch in batches:
             waiting.append(batch)
-            rows += batch.num_rows
-            if rows < buffer_rows:
+            held += batch.num_rows
+            if held < buffer_rows:
                 continue
             table = pa.Table.from_batches(waiting).combine_chunks()
             mask, value = table["mask"].to_numpy(), table["value"].to_numpy()
@@ -175,56 +211,64 @@ def links(distinct: DataFrame, budget: int = 3, most: int = 4096, buffer_rows: i
             cut = int(whole[-1]) + 1 if len(whole) else 0  # the last group may go on
             if cut:
                 yield found(table.slice(0, cut))
-            waiting, rows = table.slice(cut).to_batches(), table.num_rows - cut
-        if rows:
+            waiting, held = table.slice(cut).to_batches(), table.num_rows - cut
+        if held:
             yield found(pa.Table.from_batches(waiting).combine_chunks())
 
-    def joined(rows: DataFrame) -> DataFrame:
-        return rows.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "node long, other long")
+    def joined(part: DataFrame) -> DataFrame:
+        return part.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "node long, other long")
 
-    masks = {0: parts(list(range(BITS)), blocks)}
-    rows = keyed(distinct.withColumn("mask", F.lit(0).cast("long")), masks)
+    masks = {fixed: parts([b for b in range(BITS) if not fixed >> b & 1], blocks)}
+    part = keyed(rows.withColumn("mask", F.lit(signed(fixed)).cast("long")), masks, extra)
     out: DataFrame | None = None
     while True:
-        large = materialised(rows.groupBy("mask", "value").count().where(F.col("count") > most).select("mask", "value"))
+        large = materialised(part.groupBy("mask", "value").count().where(F.col("count") > most).select("mask", "value"))
         free = {m | p: [b for b in range(BITS) if not (m | p) >> b & 1] for m, ps in masks.items() for p in ps}
         if not large.head(1):
-            ready = joined(rows)
+            ready = joined(part)
             return ready if out is None else out.unionAll(ready)
-        ready = joined(rows.join(large, ["mask", "value"], "left_anti"))
+        ready = joined(part.join(large, ["mask", "value"], "left_anti"))
         out = ready if out is None else out.unionAll(ready)
         # A group with b bits free has at most 2 ** b members; one that is too large has a bit for each block.
         masks = {m: parts(bits, blocks) for m, bits in free.items() if 1 << len(bits) > most}
-        split = rows.join(large, ["mask", "value"], "left_semi").select("mask", "fp").distinct()
-        rows = keyed(materialised(split), masks)
+        split = part.join(large, ["mask", "value"], "left_semi").select("mask", "fp", *extra).distinct()
+        part = keyed(materialised(split), masks, extra)
 
 
-def keyed(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
-    """(mask, value, fp): each row once for each larger mask that its mask is split into."""
+def keyed(rows: DataFrame, masks: dict[int, list[int]], extra: list[str]) -> DataFrame:
+    """(mask, value, fp, *extra): each row once for each larger mask that its mask is split into."""
     larger = {signed(m): np.array([m | p for p in ps], np.uint64).view(np.int64) for m, ps in masks.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            old, fp = (c.to_numpy() for c in batch.columns)
+            old, *columns = (c.to_numpy() for c in batch.columns)
             for m in np.unique(old):
-                own = np.repeat(fp[old == m], len(larger[int(m)]))
+                own = [np.repeat(c[old == m], len(larger[int(m)])) for c in columns]
                 mask = np.tile(larger[int(m)], int((old == m).sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(mask), pa.array(own & mask), pa.array(own)], ["mask", "value", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mask, own[0] & mask, *own)], ["mask", "value", "fp", *extra])
+
+    return rows.select("mask", "fp", *extra).mapInArrow(run, "mask long, value long, fp long" + "".join(f", {c} long" for c in extra))
+
 
-    return rows.select("mask", "fp").mapInArrow(run, "mask long, value long, fp long")
+def first_row(id_column: str) -> Column:
+    """Orders rows: by id (null last), then fingerprint, then hash of the text."""
+    return F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).alias("id"), F.col("fp").alias("of"), "text_hash")
+
+
+def keepers(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, component_id, keeper) of distinct (fp, first) whose components the links `found` make."""
+    roots = components(found)
+    labelled = materialised(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("label"), "first"))
+    # Kept apart from the join, or a large component's partition could not be split.
+    kept = materialised(labelled.groupBy(F.col("label").alias("of_label")).agg(F.min("first").alias("keeper")))
+    return labelled.join(kept, labelled["label"] == kept["of_label"]).select("fp", F.col("keeper.id").alias("component_id"), "keeper")
 
 
 def groups(marked: DataFrame, budget: int = 3, id_column: str = "doc_id") -> DataFrame:
     """(fp, component_id, keeper): of each distinct fingerprint its component's smallest id, and the
     first (id missing, id, fp, text_hash) of its rows."""
-    first = F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).alias("id"), F.col("fp").alias("of"), "text_hash")
-    distinct = materialised(marked.groupBy("fp").agg(F.min(first).alias("first")))
-    roots = components(links(distinct.select("fp"), budget))
-    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("label"), "first")
-    labelled = materialised(labelled)
-    # Kept apart from the join, or a large component's partition could not be split.
-    keepers = materialised(labelled.groupBy(F.col("label").alias("of_label")).agg(F.min("first").alias("keeper")))
-    return labelled.join(keepers, labelled["label"] == keepers["of_label"]).select("fp", F.col("keeper.id").alias("component_id"), "keeper")
+    distinct = materialised(marked.groupBy("fp").agg(F.min(first_row(id_column)).alias("first")))
+    return keepers(distinct, links(distinct.select("fp"), budget))
 
 
 def near_duplicates(df: DataFrame, budget: int = 3, shingle_words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -239,11 +283,60 @@ def near_duplicates(df: DataFrame, budget: int = 3, shingle_words: int = 3, id_c
     return marked.join(found, marked["fp"] == found["of_fp"]).select(id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(df: DataFrame, budget: int = 3, shingle_words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of df, one of each component: that of the smallest id (then fingerprint, then hash of
-    the text; ids that are null come last). Rows that repeat are one. Columns stay as they are."""
-    marked = materialised(fingerprints(df, id_column, text_column, shingle_words))
-    found = groups(marked, budget, id_column).select("keeper.id", "keeper.text_hash").distinct().select(F.col("id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+def bands(df: DataFrame, n_bands: int, id_column: str = "doc_id", text_column: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
+    """(id, text_hash, fp, bands, check_1, check_2): n_bands fingerprints of 48 bits over three-word
+    shingles, and 128 bits over five-word shingles; fp is a hash of all of them."""
+    import xxhash
+
+    kind = df.schema[id_column].dataType.simpleString()
+    low = (1 << BAND_BITS) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text_column, slice_bytes):
+                found, checks, fps = [], [], []
+                for text in batch.column(2):
+                    t = text.as_py() or ""
+                    band = [k << BAND_BITS | x & low for k, x in enumerate(words_of_bits(shingle_hashes(t, 3), n_bands))]
+                    check = words_of_bits(shingle_hashes(t, 5), 2)
+                    found += band
+                    checks.append(check)
+                    fps.append(xxhash.xxh3_64_intdigest(np.array([*band, *check], np.uint64).tobytes()))
+                one, two = np.array(checks, np.uint64).reshape(-1, 2).T
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * n_bands), pa.array(found, pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), lists, *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (one, two))], ["id", "text_hash", "fp", "bands", "check_1", "check_2"])
+
+    rows = df.select(id_column, F.xxhash64(text_column).alias("text_hash"), text_column)
+    return rows.mapInArrow(run, f"id {kind}, text_hash long, fp long, bands array<bigint>, check_1 long, check_2 long")
+
+
+def similar_groups(marked: DataFrame, budget: int, check_bits: int) -> DataFrame:
+    """(fp, component_id, keeper) of texts of bands(): linked are texts of which a band differs in at
+    most budget bits and the check in at most check_bits."""
+    distinct = materialised(marked.groupBy("fp").agg(F.min(first_row("id")).alias("first"), *(F.first(c).alias(c) for c in ("bands", "check_1", "check_2"))))
+    banded = distinct.select(F.explode("bands").alias("band"), F.col("fp").alias("node"), "check_1", "check_2")
+    # Texts that share a band's fingerprint: one stands for them in the trie, the others are linked to it.
+    stand = F.min(F.struct("node", "check_1", "check_2")).alias("stand")
+    vertices = materialised(banded.groupBy(F.col("band").alias("fp")).agg(stand, F.count("*").alias("n")).select("fp", "stand.*", "n"))
+    shared = materialised(vertices.where("n > 1").select(F.col("fp").alias("of_band"), F.col("node").alias("other"), F.col("check_1").alias("other_1"), F.col("check_2").alias("other_2")))
+    differ = F.bit_count(F.col("check_1").bitwiseXOR(F.col("other_1"))) + F.bit_count(F.col("check_2").bitwiseXOR(F.col("other_2")))
+    equal = banded.join(shared, banded["band"] == shared["of_band"]).where((F.col("node") != F.col("other")) & (differ <= check_bits)).select("node", "other")
+    fixed = (1 << BITS) - (1 << BAND_BITS)  # the number of the band stands above its bits
+    near = links(vertices.select("fp", "node", "check_1", "check_2"), budget, fixed=fixed, check_bits=check_bits)
+    return keepers(distinct.select("fp", "first"), equal.unionAll(near))
+
+
+def keep_first(df: DataFrame, n_bands: int = 10, budget: int = 3, check_bits: int = 21, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of df, one of each group of near copies: that of the smallest id (ids that are null come
+    last, equal ones go by their fingerprints and texts). Rows that repeat are one. Columns stay.
+
+    Near copies are texts of which at least 0.8 of the five-word shingles are shared. One fingerprint
+    within 3 of 64 bits would miss most of these; so there are n_bands of 48 bits, each joined by its
+    own tries, and a check of 128 bits over five-word shingles decides. At a similarity of s, a bit
+    differs with probability acos(2s / (1 + s)) / pi: 0.15 of the check's bits at 0.8, within 21 of 128.
+    """
+    marked = materialised(bands(df, n_bands, id_column, text_column))
+    found = similar_groups(marked, budget, check_bits).select("keeper.id", "keeper.text_hash").distinct().select(F.col("id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
     hashed = df.withColumn("_text_hash", F.xxhash64(text_column))
     kept = hashed.join(found, hashed[id_column].eqNullSafe(found["_kept_id"]) & (hashed["_text_hash"] == found["_kept_hash"]), "left_semi")
     return kept.dropDuplicates([id_column, "_text_hash"]).drop("_text_hash")

@@ -187,13 +187,13 @@ def test_temperature_recovers_scale():
 
 def test_pipeline(spark, sf):
     import corpus_pipeline
-    from lamina.llm.simhash import near_duplicates
+    from lamina.llm.simhash import keep_first
     from lamina.llm.substring import SubstringDedup
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     told = langid.identify(docs).where("lang_pred <> 'und' AND score >= 0.3").select("doc_id")
     kept = docs.join(told, "doc_id").select(docs.columns)
-    firsts = {r[0] for r in near_duplicates(kept).where("doc_id = component_id").select("doc_id").collect()}
+    firsts = {r[0] for r in keep_first(kept).select("doc_id").collect()}
     left = [r for r in SubstringDedup().dedup(kept.where(kept.doc_id.isin(sorted(firsts)))).collect() if not (r.n_removed and not r.text.strip())]
     from lamina.llm.packing import ids_of
     from lamina.llm.queries import vocabulary

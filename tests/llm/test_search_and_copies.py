@@ -103,9 +103,51 @@ def test_near_duplicates(spark):
     least = {c: min(i for (i, *_), k in zip(rows, roots) if k == c and i is not None) for c in roots}
     want = collections.Counter((i, f"{f:016x}", least[c]) for (i, *_), f, c in zip(rows, fps, roots))
     assert collections.Counter(x[:] for x in simhash.near_duplicates(df).collect()) == want
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def similarity(a, b, k=5):
+    a, b = ({tuple(t.lower().split()[i : i + k]) for i in range(max(1, len(t.split()) - k + 1))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_keep_first_finds_near_copies(spark):
+    r = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(500)]
+    texts, copies = [], {}
+    for _ in range(60):
+        words = r.choices(vocabulary, k=r.randrange(80, 600))
+        texts.append(" ".join(words))
+        for _ in range(r.randrange(4)):
+            changed = list(words)
+            for _ in range(r.randrange(1, 1 + len(words) // 8)):
+                changed[r.randrange(len(words))] = "changed"
+            copies[len(texts)] = (len(texts) - 1 if len(texts) - 1 not in copies else copies[len(texts) - 1][0], " ".join(changed))
+            texts.append(copies[len(texts)][1])
+    df, rows = documents(spark, texts)
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns
+    kept = collections.Counter(x.doc_id for x in kept.collect())
+    assert set(kept.values()) == {1} and None not in kept
+    for copy, (first, text) in copies.items():
+        near = similarity(texts[first], text)
+        assert (copy not in kept) if near > 0.93 else near > 0.6 or copy in kept, near
+    assert all(k in kept for k in range(len(texts)) if k not in copies)
+    # the same decisions by comparing all pairs
+    words = [simhash.words_of_bits(simhash.shingle_hashes(t or "", 3), 10) for _, t, *_ in rows]
+    checks = [simhash.words_of_bits(simhash.shingle_hashes(t or "", 5), 2) for _, t, *_ in rows]
+    low = (1 << 48) - 1
+    alike = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a[1], b[1])) <= 21 and any(((x ^ y) & low).bit_count() <= 3 for x, y in zip(a[0], b[0]))
+    roots = linked(list(zip(words, checks)), alike)
+    assert set(kept) == {min(i for (i, *_), k in zip(rows, roots) if k == c and i is not None) for c in roots}
+
+
+def test_keep_first_of_odd_texts(spark):
+    df, rows = documents(spark)
     kept = simhash.keep_first(df)
-    assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == sorted(set(least.values()))
-    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_first(df.limit(0)).count() == 0
+    ids = [x.doc_id for x in kept.collect()]
+    assert len(ids) == len(set(ids)) and 0 in ids and not {1, 2} & set(ids)  # null, empty and blank are one
+    assert simhash.keep_first(df.limit(0)).count() == 0
 
 
 def test_components_without_ids(spark):
@@ -114,6 +156,15 @@ def test_components_without_ids(spark):
     assert simhash.keep_first(df).count() == 2
 
 
+def test_a_group_in_one_band_is_split_and_checked(spark):
+    """Many texts that differ in a bit or two of everything, and one that agrees in a band only."""
+    base = [5 << 40 | k for k in range(10)]
+    rows = [(k, [b << 48 | base[b] ^ (1 << k % 40) for b in range(10)], k % 3, 0) for k in range(60)] + [(99, [b << 48 | base[b] for b in range(10)], -1, -1)]
+    marked = spark.createDataFrame([(k, k, k, bands, c1, c2) for k, bands, c1, c2 in rows], "id long, text_hash long, fp long, bands array<long>, check_1 long, check_2 long")
+    found = {x.fp: x.component_id for x in simhash.similar_groups(marked, 3, 21).collect()}
+    assert found == {k: 0 for k in range(60)} | {99: 99}
+
+
 @pytest.mark.parametrize("most", [4096, 20])
 def test_trie_join_finds_every_link(spark, most):
     rng = np.random.default_rng(2)
