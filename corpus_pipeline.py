@@ -24,8 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their SimHash (3-word shingles, 3 bits) the one of smallest id stays."""
-    return keep_first(docs, budget=3, shingle_words=3)
+    """Of near copies (0.8 of five-word shingles, by SimHash) the document of smallest id stays."""
+    return keep_first(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
