@@ -9,6 +9,7 @@ number of documents, and no group needs another.
 from __future__ import annotations
 
 import functools
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -22,6 +23,10 @@ from lamina.llm.common import slices
 from lamina.llm.pieces import PieceMemo, piece_encoder
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Ids:
     """Whole texts to little-endian 32-bit ids, as the tokenizers library gives them."""
 
@@ -30,12 +35,12 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         encode = piece_encoder(self.tokenizer)
-        self.memo = PieceMemo(lambda piece: np.array(encode(piece), "<u4").tobytes())
+        self.memo = PieceMemo(lambda piece: pack_ids(encode(piece)))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def of(self, text: str) -> bytes:
         if any(s in text for s in self.special):  # rare: no piece may hold part of a special token
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(self.memo.of(text))
 
 
@@ -83,7 +88,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_column: str, text_column: str, slice_bytes: int = 4 << 20) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens): each document cut after every `capacity` ids."""
     kind = df.schema[id_column].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
+    end = pack_ids([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(tokenizer_path)

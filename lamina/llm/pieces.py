@@ -26,7 +26,7 @@ class PieceMemo(dict):
     """piece -> what `encode` makes of it, for the pieces met last: of two generations the older one
     goes when the younger has `most` pieces. That bounds memory and changes no result."""
 
-    def __init__(self, encode: Callable[[str], Any], most: int = 250_000):
+    def __init__(self, encode: Callable[[str], Any], most: int = 400_000):
         super().__init__()
         self.encode, self.most, self.older = encode, most, {}
 
@@ -50,12 +50,14 @@ def piece_encoder(tokenizer) -> Callable[[str], list[int]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task on each core
     split, merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
     to_char = byte_characters()
-    table, space = [to_char[b] for b in range(256)], to_char[ord(" ")]
+    space, by_latin = to_char[ord(" ")], str.maketrans({chr(b): c for b, c in to_char.items()})
 
     def encode(piece: str) -> list[int]:
-        if not PLAIN.fullmatch(piece):
-            return [t.id for name, _ in split(piece) for t in merge(name)]
-        name = piece.replace(" ", space) if piece.isascii() else "".join([table[b] for b in piece.encode()])
-        return [t.id for t in merge(name)]
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isascii() and word.isalpha():
+            return [t.id for t in merge(piece.replace(" ", space))]
+        if PLAIN.fullmatch(piece):
+            return [t.id for t in merge(piece.encode().decode("latin-1").translate(by_latin))]
+        return [t.id for name, _ in split(piece) for t in merge(name)]
 
     return encode
