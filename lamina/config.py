@@ -20,6 +20,10 @@ class StorageConfig:
     cold_path: str = "cold"
     logs_path: str = "logs"
 
+    def path(self, part: str) -> str:
+        """The full path of landing, warm, cold or logs."""
+        return f"{self.base_path.rstrip('/')}/{getattr(self, part + '_path')}"
+
 
 @dataclass
 class HotConfig:

@@ -30,15 +30,16 @@ def query(
     tie_break: Sequence[str] = (),
     columns: Sequence[str] | None = None,
     strict: bool = True,
+    offset: int = 0,
 ) -> DataFrame:
     """Rows of df that pass the filters, sorted, cut and projected. Lazy: Catalyst pushes the filter
     and the columns to the scans, and makes a sort with a limit one top-k of partial top-ks.
 
-    limit None is no limit, 0 no rows; a negative one raises. tie_break columns (ascending) make a
+    limit None is no limit, 0 no rows; a negative one raises. offset skips that many rows before it. tie_break columns (ascending) make a
     sorted result the only possible one. Unknown sort columns raise.
     """
-    if limit is not None and limit < 0:
-        raise ValueError("limit must not be negative")
+    if limit is not None and limit < 0 or offset < 0:
+        raise ValueError("limit and offset must not be negative")
     kinds = {f.name: f.dataType for f in df.schema.fields}
     passes = compile_filters(filters, df.schema, strict)
     out = df if passes is None else df.where(passes)
@@ -51,6 +52,8 @@ def query(
             raise ValueError("one direction for each sort column")
         order = [o for k, way in zip(keys, ways, strict=True) for o in ordering(k, kinds[k], way)]
         out = out.orderBy(*order, *(o for k in tie_break for o in ordering(k, kinds[k])))
+    if offset:
+        out = out.offset(offset)
     if limit is not None:
         out = out.limit(limit)
     return out.select(*(f"`{c}`" for c in columns)) if columns is not None else out

@@ -125,6 +125,23 @@ class Store:
         for e in batches:
             self._file.remove(e.path)
 
+    def vacuum(self) -> list[str]:
+        """Deletes folders that the manifest doesn't name: what a crash left, or a move that was cut
+        short before its deletions. For when nobody reads by an older manifest. Returns their paths."""
+        storage, gone = self.config.storage, []
+        named = {e.path for e in self._manifest.entries}
+        roots = {"/".join(p.split("/")[:2]) for p in named}
+        for folder in (storage.landing_path, storage.warm_path, storage.cold_path):
+            for name in self._file.children(folder):
+                path = f"{folder}/{name}"
+                if path not in roots:
+                    gone.append(path)
+                elif folder == storage.warm_path:
+                    gone += [day for d in self._file.children(path) if "=" in d and (day := f"{path}/{d}") not in named]
+        for path in gone:
+            self._file.remove(path)
+        return gone
+
     # --- reading
 
     @property
@@ -153,8 +170,8 @@ class Store:
             return empty.withColumn(tier_column, F.lit(None).cast("string")) if tier_column else empty
         return out
 
-    def query(self, filters: Mapping[str, Any] | None = None, limit: int | None = None, sort_by: str | Sequence[str] | None = None, ascending: bool | Sequence[bool] = True, tie_break: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
-        return reading.query(self.scan(filters), filters, limit, sort_by, ascending, tie_break, columns, self.config.query.strict)
+    def query(self, filters: Mapping[str, Any] | None = None, limit: int | None = None, sort_by: str | Sequence[str] | None = None, ascending: bool | Sequence[bool] = True, tie_break: Sequence[str] = (), columns: Sequence[str] | None = None, offset: int = 0) -> DataFrame:
+        return reading.query(self.scan(filters), filters, limit, sort_by, ascending, tie_break, columns, self.config.query.strict, offset)
 
     def batches(self, *args: Any, **kwargs: Any) -> Iterator[pa.RecordBatch]:
         """query() as Arrow batches of the configured size, a partition at a time."""
@@ -200,8 +217,9 @@ class Store:
 
     # --- knowing
 
-    def stats(self) -> dict[str, Any]:
-        """Per tier: rows, entries, days, share of capacity, times; all from the manifest."""
+    def stats(self, files: bool = False) -> dict[str, Any]:
+        """Per tier: rows, entries, days, share of capacity, times; all from the manifest. With files,
+        also bytes and files, as the file system has them."""
         capacity = {"hot": self.config.hot_tier.max_records, "warm": self.config.warm_tier.max_records}
         out: dict[str, Any] = {}
         for tier in TIERS:
@@ -210,10 +228,14 @@ class Store:
             out[tier] = {
                 "total_records": rows,
                 "entries": len(entries),
+                "partitions": len({e.day or (e.min_time or "")[:10] for e in entries}),
                 "capacity_pct": 100 * rows / capacity[tier] if capacity.get(tier) else None,
                 "min_time": min((e.min_time for e in entries if e.min_time), default=None),
                 "max_time": max((e.max_time for e in entries if e.max_time), default=None),
             }
+            if files:
+                used = [self._file.usage(e.path) for e in entries]
+                out[tier] |= {"bytes": sum(u[0] for u in used), "files": sum(u[1] for u in used)}
         return out | {"total_records": sum(out[t]["total_records"] for t in TIERS)}
 
     def audit(self, sent: DataFrame, key: str) -> DataFrame:

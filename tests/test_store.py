@@ -59,6 +59,9 @@ def test_sorted_query_over_tiers_is_exact(filled):
     store, rows = filled
     got = [r.record_id for r in store.query({"value": {">=": 100.0}, "symbol": "AUDIT"}, sort_by="value", ascending=False, limit=50).collect()]
     assert got == list(range(3999, 3949, -1))
+    assert [r.record_id for r in store.query(sort_by="value", offset=10, limit=3).collect()] == [10, 11, 12]
+    used = store.stats(files=True)
+    assert all(used[t]["bytes"] > 0 and used[t]["files"] > 0 for t in ("hot", "warm", "cold"))
     batches = list(store.batches(sort_by="record_id", limit=10_000))
     assert sum(b.num_rows for b in batches) == 4000 and isinstance(batches[0], pa.RecordBatch)
     assert [b.column("record_id")[0].as_py() for b in batches] == [0]
@@ -77,6 +80,8 @@ def test_a_crash_while_moving_loses_and_doubles_nothing(spark, filled, step, tie
         store.migrate(tier, on_step=crash)
     again = open_store(spark, store.path)
     assert keys(again.query()) == list(range(4000))
+    left = again.vacuum()
+    assert left and keys(again.query()) == list(range(4000)) and not again.vacuum()
     again.migrate(tier)
     assert again.audit(rows, "record_id").first()[1:] == (4000, 0, 0)
 
@@ -118,7 +123,7 @@ def test_nulls_odd_types_and_schema_rules(spark, tmp_path):
 
 def test_arrow_batches_legacy_files_lookup_and_compaction(spark, tmp_path):
     store = open_store(spark, str(tmp_path / "s"))
-    batch = fixtures.simple(spark, 50).toArrow()
+    batch = fixtures.simple(spark, 50).toArrow().combine_chunks()
     assert store.ingest(batch.to_batches()[0], origin="one") and not store.ingest(batch, origin="one")
     store.ingest(batch)
     store.compact()
@@ -162,6 +167,7 @@ def test_config_layers(tmp_path):
     assert (config.hot_tier.max_records, config.query.output_batch_size) == (7, 9)
     config.save(tmp_path / "d.json")
     assert load_config(tmp_path / "d.json", environ={}).to_dict() == config.to_dict()
+    assert config.storage.path("cold") == "./lamina_data/cold"
     with pytest.raises(KeyError):
         load_config(overrides={"hot_tier": {"nope": 1}}, environ={})
 
