@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,8 +53,9 @@ class Store:
         else:
             df, schema = conform(df, self.schema, self.merge_schema)
         name = f"{self.config.storage.landing_path}/{uuid.uuid4().hex}"
-        tiers.write_batch(df, self._at(name))
-        rows, low, high = self._bounds(tiers.read_paths(self.spark, schema, [self._at(name)]))
+        seen = Observation()
+        tiers.write_batch(df.observe(seen, *self._measures()), self._at(name))
+        rows, low, high = seen.get["rows"], seen.get["low"], seen.get["high"]  # measured while writing
         self._manifest.schema = schema.json()
         self._manifest.sequence += 1
         self._manifest.entries.append(Entry("hot", name, rows, low, high, self._manifest.sequence, origin=origin))
@@ -267,9 +268,12 @@ class Store:
     def _at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def _bounds(self, df: DataFrame) -> tuple[int, str | None, str | None]:
+    def _measures(self) -> list[Column]:
         time = F.col(f"`{self.time_column}`")
-        rows, low, high = df.agg(F.count("*"), *(f(time).cast("timestamp_ntz").cast("string") for f in (F.min, F.max))).first()
+        return [F.count(F.lit(1)).alias("rows"), *(f(time).cast("timestamp_ntz").cast("string").alias(n) for n, f in (("low", F.min), ("high", F.max)))]
+
+    def _bounds(self, df: DataFrame) -> tuple[int, str | None, str | None]:
+        rows, low, high = df.agg(*self._measures()).first()
         return rows, low, high
 
     def _days(self, folder: str) -> list[Entry]:
