@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAFE_DOUBLE, SAFE_LONG = 1 << 53, (1 << 63) - 1
+MOST = (1 << 63) - 1
 
 
 def quantised(df: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
@@ -35,23 +35,47 @@ def dense(ids: pa.Array, weights: pa.Array, terms: int) -> tuple[np.ndarray, np.
     return ids.to_numpy(), matrix
 
 
-def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Scores (queries by candidates), term at a time. Doubles where all sums are whole in them, longs
-    where those hold all sums, Python's integers beyond."""
+def number_kind(queries: np.ndarray, candidates: np.ndarray) -> type:
+    """The smallest kind of number in which every sum is exact; Python's integers if none is."""
     bound = np.abs(queries).max(axis=0, initial=0) @ np.abs(candidates).max(axis=0, initial=0)
-    kind = np.float64 if bound < SAFE_DOUBLE else np.int64 if bound < SAFE_LONG / 2 else object
-    exact = (lambda x: np.vectorize(int, otypes=[object])(x)) if kind is object else (lambda x: x.astype(kind))
-    scores = np.zeros((len(queries), len(candidates)), kind) if kind is not object else np.full((len(queries), len(candidates)), 0, object)
-    for term in range(queries.shape[1]):
-        asked, posted = np.flatnonzero(queries[:, term]), np.flatnonzero(candidates[:, term])
-        if not len(asked) or not len(posted):
-            continue
-        gain = np.multiply.outer(exact(queries[asked, term]), exact(candidates[posted, term]))
-        if len(asked) == len(queries) and len(posted) == len(candidates):
-            scores += gain
-        else:
-            scores[np.ix_(asked, posted)] += gain
-    return scores
+    limits = ((np.float32, 1 << 24), (np.float64, 1 << 53), (np.int64, 1 << 62))
+    return next((kind for kind, limit in limits if bound < limit), object)
+
+
+def as_kind(matrix: np.ndarray, kind: type) -> np.ndarray:
+    """The matrix of that kind, by terms."""
+    flipped = np.ascontiguousarray(matrix.T)
+    if kind is not object:
+        return flipped.astype(kind)
+    out = np.empty(flipped.shape, object)
+    out.ravel()[:] = [int(x) for x in flipped.ravel()]
+    return out
+
+
+class Postings:
+    """The candidates of a cell by term: which have it, and with what weight."""
+
+    def __init__(self, candidates: np.ndarray, kind: type):
+        self.kind, self.size = kind, len(candidates)
+        weights = as_kind(candidates, kind)
+        self.lists = []
+        for row in weights:
+            posted = np.flatnonzero(row)
+            self.lists.append((None, row) if len(posted) == len(row) else (posted, row[posted]))
+
+    def accumulate(self, queries: np.ndarray) -> np.ndarray:
+        """Scores (queries by candidates): each term scatters its weighted postings into them."""
+        scores = np.zeros((len(queries), self.size), self.kind)
+        gain = np.empty_like(scores)
+        for asked, (posted, weights) in zip(as_kind(queries, self.kind), self.lists, strict=True):
+            if not len(weights) or not asked.any():
+                continue
+            if posted is None:
+                np.multiply(asked[:, None], weights, out=gain)
+                scores += gain
+            else:
+                scores[:, posted] += np.multiply.outer(asked, weights)
+        return scores
 
 
 def best(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
@@ -70,11 +94,11 @@ def best(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) ->
             chosen = np.arange(len(row))
         out[0].extend([place] * len(chosen))
         out[1].extend(those[chosen].tolist())
-        out[2].extend(max(-SAFE_LONG - 1, min(SAFE_LONG, int(x))) for x in row[chosen])
+        out[2].extend(max(-MOST - 1, min(MOST, int(x))) for x in row[chosen])
     return out
 
 
-def top_k(df: DataFrame, is_query: str, k: int = 5, scale: int = 256, id_column: str = "vec_id", vector_column: str = "embedding", query_block: int = 512, candidate_block: int = 8192, strip: int = 2048) -> DataFrame:
+def top_k(df: DataFrame, is_query: str, k: int = 5, scale: int = 256, id_column: str = "vec_id", vector_column: str = "embedding", query_block: int = 512, candidate_block: int = 8192, most_scores: int = 1 << 16) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k candidates of highest integer inner product.
 
     is_query is a SQL condition on `id`. Rows whose id is null, and vectors that are null or hold a
@@ -83,7 +107,7 @@ def top_k(df: DataFrame, is_query: str, k: int = 5, scale: int = 256, id_column:
     id are queries of their own. Ties go to the smaller id. Vectors of unequal length meet in the terms
     they share; an empty one scores 0. A score beyond a long is given as the nearest long. With fewer
     than k candidates, all are given; an empty table gives an empty result; other columns are not
-    looked at.
+    looked at. A cell holds candidate_block + query_block rows of as many doubles as the longest vector.
     """
     rows = quantised(df, id_column, vector_column, scale)
     n_rows, n_queries = rows.select(F.count("*"), F.count_if(F.expr(is_query))).first()
@@ -96,17 +120,17 @@ def top_k(df: DataFrame, is_query: str, k: int = 5, scale: int = 256, id_column:
     def cell(group: pa.Table) -> pa.Table:
         asks = group["asks"].combine_chunks()
         sides = group.filter(asks), group.filter(pc.invert(asks))
-        terms = max([0, *(pc.max(pc.list_value_length(group["weights"])).as_py() or 0,)])
+        terms = pc.max(pc.list_value_length(group["weights"])).as_py() or 0
         (query_ids, q), (ids, c) = (dense(s["id"].combine_chunks(), s["weights"].combine_chunks(), terms) for s in sides)
         keys, order = sides[0]["vector"].to_numpy(), np.argsort(ids, kind="stable")
-        ids, c = ids[order], c[order]
+        ids, postings = ids[order], Postings(c[order], number_kind(q, c))
         found: tuple[list[int], list[int], list[int]] = ([], [], [])
-        for a in range(0, len(q), 64):  # strips of the score array stay in the processor's cache
-            for b in range(0, len(c), strip):
-                part = best(query_ids[a : a + 64], ids[b : b + strip], accumulate(q[a : a + 64], c[b : b + strip]), k)
-                found[0].extend(a + x for x in part[0])
-                found[1].extend(part[1])
-                found[2].extend(part[2])
+        strip = max(1, most_scores // max(1, len(c)))  # a strip's scores stay in the processor's cache
+        for a in range(0, len(q), strip):
+            place, those, scores = best(query_ids[a : a + strip], ids, postings.accumulate(q[a : a + strip]), k)
+            found[0].extend(a + x for x in place)
+            found[1].extend(those)
+            found[2].extend(scores)
         place = np.array(found[0], np.int64)
         return pa.table({"query_id": query_ids[place], "vector": keys[place], "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.int64())})
 

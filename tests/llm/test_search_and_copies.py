@@ -39,7 +39,7 @@ def test_topk(spark, blocks):
     rows += [(i, [0.5] * 6) for i in range(200, 230)]  # ties
     rows += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 6), (None, [9.0] * 6), (350, []), (303, [float("inf")] * 6), (304, [3.0]), (400, [2.0] * 9)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
-    got = exact_topk.top_k(df, "id % 50 = 0", query_block=blocks[0], candidate_block=blocks[1], strip=16)
+    got = exact_topk.top_k(df, "id % 50 = 0", query_block=blocks[0], candidate_block=blocks[1], most_scores=64)
     assert {x[:] for x in got.collect()} == topk_brute(rows)
     assert exact_topk.top_k(df.limit(0), "id % 50 = 0").count() == 0
 
