@@ -14,8 +14,16 @@ from lamina.sources.shared import materialised, shared_folder
 __all__ = ["flat_text", "materialised", "shared_folder", "slices", "table"]
 
 
+#: Bytes of files a core, below which a table in few files is dealt out anew.
+SMALL = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it is stored. One that is small and in fewer files than there are cores is dealt out
+    to all cores; anything larger is split where it is read, without a shuffle."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SMALL * cores and len(df.inputFiles()) < cores else df
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
