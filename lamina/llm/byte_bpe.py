@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lamina.llm.common import slices
-from lamina.llm.pieces import PieceMemo, piece_encoder
+from lamina.llm.pieces import PieceMemo, piece_encoder, segments
 from lamina.llm.token_counts import byte_characters
 
 
@@ -53,9 +53,16 @@ class ByteBpe:
     def ids(self, text: str) -> list[int]:
         return list(chain.from_iterable(x[0] for x in self.memo.of(text)))
 
-    def ids_with_decimals(self, text: str) -> tuple[list[int], str]:
-        found = self.memo.of(text)
-        return list(chain.from_iterable(x[0] for x in found)), ",".join([x[1] for x in found])
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """(tokens, SHA-256 of the decimal ids joined by commas, SHA-256 of what the ids decode to)."""
+        n, encoded, decoded = 0, hashlib.sha256(), hashlib.sha256()
+        for part in segments(text):
+            found = self.memo.of(part)
+            ids = list(chain.from_iterable(x[0] for x in found))
+            encoded.update((("," if n and ids else "") + ",".join([x[1] for x in found])).encode())
+            decoded.update(self.decode_bytes(ids))
+            n += len(ids)
+        return n, encoded.hexdigest(), decoded.hexdigest()
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -115,17 +122,12 @@ def round_trip(df: DataFrame, rank_path: str, pattern: str, id_column: str = "do
     one row for each row in. A null or empty text has no tokens (digests of the empty string); ids may
     be null or repeat; an empty table gives an empty result; other columns are not looked at."""
     kind = df.schema[id_column].dataType.simpleString()
-    digest = lambda raw: hashlib.sha256(raw).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(rank_path, pattern)
         for whole in batches:
             for batch in slices(whole, text_column, slice_bytes):
-                rows = []
-                for text in batch.column(1):
-                    ids, decimals = bpe.ids_with_decimals(text.as_py() or "")
-                    rows.append((len(ids), digest(decimals.encode()), digest(bpe.decode_bytes(ids))))
-                n, encoded, decoded = zip(*rows, strict=True)
+                n, encoded, decoded = zip(*(bpe.digests(text.as_py() or "") for text in batch.column(1)), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(encoded), pa.array(decoded)], [id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

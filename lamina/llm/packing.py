@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import slices
-from lamina.llm.pieces import PieceMemo, piece_encoder
+from lamina.llm.pieces import PieceMemo, piece_encoder, segments
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -41,7 +41,7 @@ class Ids:
     def of(self, text: str) -> bytes:
         if any(s in text for s in self.special):  # rare: no piece may hold part of a special token
             return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join(self.memo.of(text))
+        return b"".join(b"".join(self.memo.of(part)) for part in segments(text))
 
 
 @functools.lru_cache(maxsize=2)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 #: Unicode's white space, as the tokenizers' patterns take it.
@@ -20,6 +20,18 @@ LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ǿ"
 WORD = rf" ?[{LATIN}]++"
 PIECE = re.compile(rf"{WORD}(?=[.,;:!?{WHITE}]|\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 PLAIN = re.compile(WORD)
+#: A place that no piece and no pre-token crosses.
+CUT = re.compile(r"(?<=[A-Za-z0-9]) ")
+
+
+def segments(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """The text in parts of about `most` characters whose pieces are the text's; so a text of any
+    length takes the memory of a part. A part is longer only where there is no place to cut."""
+    start = 0
+    while len(text) - start > most and (cut := CUT.search(text, start + most)):
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
 
 
 class PieceMemo(dict):

@@ -13,6 +13,7 @@ pairs; the components of those links are the components of all pairs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,48 +27,71 @@ from lamina.llm.components import components
 BITS, BAND_BITS = 64, 48
 
 
-def shingle_hashes(text: str, shingle_words: int) -> np.ndarray:
-    """XXH64 (seed 42) of each run of that many words, repeats included; of the whole, if it has
-    fewer; none without words. Words: runs of other than ASCII white space, A-Z in lower case."""
+#: What words are parted by, and after how many characters of a text a new part begins.
+BLANK, PART = re.compile(r"[\x20\x09-\x0D]"), 1 << 20
+
+
+def hashes_of(words: list[bytes], shingle_words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of that many words, which are joined by spaces."""
     import xxhash
 
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    k = min(shingle_words, len(words))
-    stops = ends[k - 1 :].tolist()
-    starts = [0, *(ends[: len(words) - k] + 1).tolist()]
+    stops = ends[shingle_words - 1 :].tolist()
+    starts = [0, *(ends[: len(words) - shingle_words] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
     return np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64)
 
 
-def majority(h: np.ndarray) -> int:
-    """Bit b is 1 if more than half of the hashes have it; 0 without hashes."""
-    if not len(h):
-        return 0
+def shingle_hashes(text: str, shingle_words: int, part: int = PART) -> Iterator[np.ndarray]:
+    """The hashes of all shingles, repeats included, part by part; of the whole, if it has fewer
+    words; none without words. Words: runs of other than ASCII white space, A-Z in lower case."""
+    start, words, yielded = 0, [], False
+    while start < len(text):
+        cut = BLANK.search(text, start + part) if len(text) - start > part else None
+        stop = cut.start() if cut else len(text)
+        words += text[start:stop].encode().lower().split()
+        start = stop
+        if len(words) >= shingle_words:
+            yield hashes_of(words, shingle_words)
+            words, yielded = words[len(words) - shingle_words + 1 :], True
+    if words and not yielded:
+        yield hashes_of(words, len(words))
+
+
+def ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
     octets = h.view(np.uint8).reshape(-1, 8)
     if len(h) < 512:
-        ones = np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0)
-    else:  # how often each of 8 bytes has each value, and the bits of the values
-        often = np.bincount((octets + np.arange(8, dtype=np.uint16) * 256).ravel(), minlength=2048).reshape(8, 256)
-        ones = (often @ np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)).ravel()
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+        return np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    # how often each of 8 bytes has each value, and the bits of the values
+    often = np.bincount((octets + np.arange(8, dtype=np.uint16) * 256).ravel(), minlength=2048).reshape(8, 256)
+    return (often @ np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)).ravel()
+
+
+def majority(counts: np.ndarray, total: int) -> int:
+    """Bit b is 1 if more than half of the hashes have it; 0 without hashes."""
+    return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprint(text: str, shingle_words: int = 3) -> int:
-    return majority(shingle_hashes(text, shingle_words))
+    counts, total = np.zeros(BITS, np.int64), 0
+    for h in shingle_hashes(text, shingle_words):
+        counts += ones(h)
+        total += len(h)
+    return majority(counts, total)
 
 
-def words_of_bits(h: np.ndarray, n: int) -> list[int]:
+def words_of_bits(text: str, shingle_words: int, n: int) -> list[int]:
     """n fingerprints, as if of n hash functions: each mixes the hashes another way."""
-    out = []
-    for k in range(n):
-        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << BITS) - 1)) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        out.append(majority(x * np.uint64(0xD6E8FEB86659FD93)))
-    return out
+    counts, total = np.zeros((n, BITS), np.int64), 0
+    for h in shingle_hashes(text, shingle_words):
+        total += len(h)
+        for k in range(n):
+            x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << BITS) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+            counts[k] += ones(x * np.uint64(0xD6E8FEB86659FD93))
+    return [majority(c, total) for c in counts]
 
 
 def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 3, slice_bytes: int = 4 << 20) -> DataFrame:
@@ -297,8 +321,8 @@ def bands(df: DataFrame, n_bands: int, id_column: str = "doc_id", text_column: s
                 found, checks, fps = [], [], []
                 for text in batch.column(2):
                     t = text.as_py() or ""
-                    band = [k << BAND_BITS | x & low for k, x in enumerate(words_of_bits(shingle_hashes(t, 3), n_bands))]
-                    check = words_of_bits(shingle_hashes(t, 5), 2)
+                    band = [k << BAND_BITS | x & low for k, x in enumerate(words_of_bits(t, 3, n_bands))]
+                    check = words_of_bits(t, 5, 2)
                     found += band
                     checks.append(check)
                     fps.append(xxhash.xxh3_64_intdigest(np.array([*band, *check], np.uint64).tobytes()))

@@ -70,9 +70,12 @@ def hashed_runs(text: str, least_sentences: int, least_words: int, long_words: i
     """(hash, first sentence, end) of each run; case and white space do not count."""
     import xxhash
 
-    words = [text[a:b].lower().split() for a, b in sentences(text)]
-    digests = [xxhash.xxh3_128_digest(" ".join(w).encode()) for w in words]
-    for first, end in runs([len(w) for w in words], least_sentences, least_words, long_words):
+    counts, digests = [], []
+    for a, b in sentences(text):
+        words = text[a:b].lower().split()
+        counts.append(len(words))
+        digests.append(xxhash.xxh3_128_digest(" ".join(words).encode()))
+    for first, end in runs(counts, least_sentences, least_words, long_words):
         yield xxhash.xxh3_128_intdigest(b"".join(digests[first:end])), first, end
 
 
@@ -85,7 +88,7 @@ class SubstringDedup:
         return df.select(F.col(self.id_column).alias("doc"), F.xxhash64(self.text_column).alias("text_hash"), F.col(self.text_column).alias("text"))
 
     def hashes(self, df: DataFrame) -> DataFrame:
-        """(high): half of the hash of each run, once for each text that holds it more than once."""
+        """(high): half of the hash of each run, as often as it is there."""
         rule, size = self.rule, self.slice_bytes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

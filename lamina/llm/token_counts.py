@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lamina.llm.common import flat_text, slices
+from lamina.llm.pieces import segments
 
 # Input symbols of the lexer. A is s, t, m or d: with an apostrophe before it, a contraction.
 SEP, LETTER, A, R, V, ELL, E, NUMBER, OTHER, APOSTROPHE, SPACE, BLANK = range(12)
@@ -296,6 +297,11 @@ class CompiledTokenizer:
             out[np.searchsorted(offsets, start, side="right") - 1] += 1
         return out
 
+    def count_long(self, text: str, most: int) -> int:
+        """Tokens of one text, counted in parts."""
+        parts = (np.frombuffer(part.encode(), np.uint8) for part in segments(text, most))
+        return sum(int(self.count(data, np.array([0, len(data)]))[0]) for data in parts)
+
     def _specials(self, whole: bytes, offsets: np.ndarray) -> list[tuple[int, int]]:
         found: list[tuple[int, int]] = []
         for token in self.special:
@@ -341,7 +347,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = 1024, id_colum
         for whole in batches:
             for batch in slices(whole, text_column, slice_bytes):
                 data, offsets = flat_text(batch.column(1))
-                n = tokenizer.count(data, offsets)
+                one = batch.num_rows == 1 and len(data) > slice_bytes
+                n = np.array([tokenizer.count_long(data.tobytes().decode(), slice_bytes // 2)]) if one else tokenizer.count(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], [id_column, "n_bytes", "n_tokens", "over_limit"])
 
     return df.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -70,6 +70,14 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="aB \n\x0b\xa0é", max_size=80), st.integers(1, 20), st.integers(1, 5))
+def test_parts_change_no_shingle(text, part, k):
+    flat = lambda parts: [int(x) for h in parts for x in h]
+    assert flat(simhash.shingle_hashes(text, k, part)) == flat(simhash.shingle_hashes(text, k))
+    assert simhash.fingerprint(text) == fingerprint(text)
+
+
 def linked(values, near):
     root = list(range(len(values)))
 
@@ -134,8 +142,8 @@ def test_keep_first_finds_near_copies(spark):
         assert (copy not in kept) if near > 0.93 else near > 0.6 or copy in kept, near
     assert all(k in kept for k in range(len(texts)) if k not in copies)
     # the same decisions by comparing all pairs
-    words = [simhash.words_of_bits(simhash.shingle_hashes(t or "", 3), 10) for _, t, *_ in rows]
-    checks = [simhash.words_of_bits(simhash.shingle_hashes(t or "", 5), 2) for _, t, *_ in rows]
+    words = [simhash.words_of_bits(t or "", 3, 10) for _, t, *_ in rows]
+    checks = [simhash.words_of_bits(t or "", 5, 2) for _, t, *_ in rows]
     low = (1 << 48) - 1
     alike = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a[1], b[1])) <= 21 and any(((x ^ y) & low).bit_count() <= 3 for x, y in zip(a[0], b[0]))
     roots = linked(list(zip(words, checks)), alike)

@@ -61,6 +61,16 @@ def test_pieces_give_the_libraries_ids(library, ranks, text):
     assert not spans or (spans[0][0] == 0 and spans[-1][1] == len(text))
 
 
+@settings(max_examples=100, deadline=None)
+@given(mixed, st.integers(1, 20))
+def test_segments_change_no_id(compiled, library, text, most):
+    from lamina.llm.pieces import PIECE, segments
+
+    parts = list(segments(text, most))
+    assert "".join(parts) == text and [p for part in parts for p in PIECE.findall(part)] == PIECE.findall(text)
+    assert compiled.count_long(text, most) == len(library.encode(text, add_special_tokens=False).ids)
+
+
 def test_small_memory_changes_no_count(compiled, library):
     r = random.Random(3)
     texts = ["".join(r.choice(PIECES) for _ in range(30)) for _ in range(300)]
@@ -106,6 +116,9 @@ def test_round_trip(spark, ranks):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = [(i, len(ids := ranks.encode_ordinary(t or "")), sha(",".join(map(str, ids)).encode()), sha((t or "").encode())) for i, t, *_ in rows]
     assert sorted((r[:] for r in byte_bpe.round_trip(df, RANKS, vocabularies.PATTERN).collect()), key=str) == sorted(want, key=str)
+    long = "ab c1 " * 700_000
+    ids = ranks.encode_ordinary(long)
+    assert byte_bpe.byte_bpe(RANKS, vocabularies.PATTERN).digests(long) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(long.encode()))
     encoded = byte_bpe.encode(df, RANKS, vocabularies.PATTERN)
     back = byte_bpe.decode(encoded, RANKS, vocabularies.PATTERN)
     assert sorted((r[:] for r in back.collect()), key=str) == sorted(((i, t or "") for i, t, *_ in rows), key=str)
