@@ -83,8 +83,9 @@ def partition_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlapping(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    keys = table(spark, sf_dir, "events").select("event_id")
-    return keys.where("event_id < 600"), keys.where("event_id >= 400")
+    """Keys of two tiers that hold all events between them, five days of them both."""
+    rows = table(spark, sf_dir, "events")
+    return query(rows, {"ts": {">=": WARM_FROM}}, columns=["event_id"]), query(rows, {"ts": {"<": JAN[20]}}, columns=["event_id"])
 
 
 def audit_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +144,7 @@ def multi_key_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = "SELECT * FROM events"
 TOP = "ORDER BY value {} NULLS LAST, event_id LIMIT {}"
+HOT_SQL, OLD_SQL = "ts >= TIMESTAMP '2024-01-15 00:00:00'", "ts < TIMESTAMP '2024-01-20 00:00:00'"
 JAN = {n: dt.datetime(2024, 1, n) for n in (10, 20)}
 
 #: name -> (query, SQL)
@@ -209,11 +211,11 @@ REGISTERED: dict[str, tuple[Query, str]] = {
     ),
     "tier_union_distinct": (
         lambda spark, sf_dir: (lambda a, b: a.union(b).distinct())(*overlapping(spark, sf_dir)),
-        "SELECT event_id FROM events WHERE event_id < 600 UNION SELECT event_id FROM events WHERE event_id >= 400",
+        f"SELECT event_id FROM events WHERE {HOT_SQL} UNION SELECT event_id FROM events WHERE {OLD_SQL}",
     ),
     "tier_intersect": (
         lambda spark, sf_dir: (lambda a, b: a.intersect(b))(*overlapping(spark, sf_dir)),
-        "SELECT event_id FROM events WHERE event_id < 600 INTERSECT SELECT event_id FROM events WHERE event_id >= 400",
+        f"SELECT event_id FROM events WHERE {HOT_SQL} INTERSECT SELECT event_id FROM events WHERE {OLD_SQL}",
     ),
     "audit_missing": (
         lambda spark, sf_dir: audit.missing(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey"),
@@ -221,8 +223,8 @@ REGISTERED: dict[str, tuple[Query, str]] = {
     ),
     "audit_duplicates": (
         audit_duplicates,
-        "SELECT event_id, count(DISTINCT tier) AS n_tiers FROM (SELECT event_id, 'hot' AS tier FROM events WHERE event_id < 600 "
-        "UNION ALL SELECT event_id, 'warm' AS tier FROM events WHERE event_id >= 400) t GROUP BY event_id HAVING count(DISTINCT tier) > 1",
+        f"SELECT event_id, count(DISTINCT tier) AS n_tiers FROM (SELECT event_id, 'hot' AS tier FROM events WHERE {HOT_SQL} "
+        f"UNION ALL SELECT event_id, 'warm' AS tier FROM events WHERE {OLD_SQL}) t GROUP BY event_id HAVING count(DISTINCT tier) > 1",
     ),
     "evict_lru": (
         evict_lru,
