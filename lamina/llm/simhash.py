@@ -26,6 +26,9 @@ from lamina.llm.components import components
 
 BITS, BAND_BITS = 64, 48
 
+#: What rows share that meet in one trie.
+GROUP = ("mask", "value", "cell")
+
 
 #: What words are parted by, and after how many characters of a text a new part begins.
 BLANK, PART = re.compile(r"[\x20\x09-\x0D]"), 1 << 20
@@ -139,7 +142,15 @@ def trie_links(groups: np.ndarray, fps: np.ndarray, budget: int, alike: Callable
             work += [(bit, *(x[half:] for x in (a0, a1, b0, b1, errors))), (bit, *(x[:half] for x in (a0, a1, b0, b1, errors)))]
             continue
         few = (a1 - a0) * (b1 - b0) <= 32
-        if bit < 0:
+        if bit < 0:  # leaves: equal fingerprints, of which there may be many
+            sizes = (a1 - a0) * (b1 - b0)
+            if len(a0) > 1 and sizes.sum() > most_pairs:
+                half = len(a0) // 2
+                work += [(bit, *(x[half:] for x in (a0, a1, b0, b1, errors))), (bit, *(x[:half] for x in (a0, a1, b0, b1, errors)))]
+                continue
+            if len(a0) == 1 and sizes[0] > most_pairs:
+                work += [(bit, *(np.array([x]) for x in (*pair, errors[0]))) for pair in halves(int(a0[0]), int(a1[0]), int(b0[0]), int(b1[0]))]
+                continue
             few[:] = True
         if few.any():
             left, right = products(a0[few], a1[few], b0[few], b1[few])
@@ -170,6 +181,18 @@ def trie_links(groups: np.ndarray, fps: np.ndarray, budget: int, alike: Callable
     return linked, root[linked]
 
 
+def halves(a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int, int, int]]:
+    """Pairs of smaller ranges with the same pairs of rows."""
+    if a0 == b0:
+        m = (a0 + a1) // 2
+        return [(a0, m, a0, m), (m, a1, m, a1), (a0, m, m, a1)]
+    if a1 - a0 >= b1 - b0:
+        m = (a0 + a1) // 2
+        return [(a0, m, b0, b1), (m, a1, b0, b1)]
+    m = (b0 + b1) // 2
+    return [(a0, a1, b0, m), (a0, a1, m, b1)]
+
+
 def products(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every (i, j) of a pair of ranges, once for a range with itself."""
     sizes = (a1 - a0) * (b1 - b0)
@@ -197,23 +220,27 @@ def join(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
 def links(rows: DataFrame, budget: int = 3, most: int = 4096, fixed: int = 0, check_bits: int = 0, buffer_rows: int = 1 << 16) -> DataFrame:
     """(node, other): enough links between fingerprints within budget to connect all that are.
 
-    rows: (fp), which are the nodes themselves, or (fp, node, check_1, check_2) with each fp once:
-    then links are between nodes whose checks also differ in at most check_bits bits. Rows meet only
-    where all bits of the mask `fixed` agree.
+    rows: (fp), each once, which are the nodes themselves, or (fp, node, check_1, check_2): then links
+    are between nodes whose checks also differ in at most check_bits bits, and an fp may repeat. Rows
+    meet only where all bits of the mask `fixed` agree. A group too large that its bits can't split, as
+    most of its rows repeat an fp, is dealt to pairs of blocks of rows: each two of them still meet.
     """
     blocks = budget + 1
     if most < 1 << blocks:
         raise ValueError("groups must be allowed as many members as blocks can tell apart")
     extra = [c for c in rows.columns if c != "fp"]
 
+    def changes(t: pa.Table) -> np.ndarray:
+        keys = [t[c].to_numpy() for c in GROUP]
+        return np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         held = 0
 
         def found(t: pa.Table) -> pa.RecordBatch:
-            mask, value, fp = (t[c].to_numpy() for c in ("mask", "value", "fp"))
-            fp = fp.view(np.uint64)
-            new = np.concatenate([[True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])])
+            fp = t["fp"].to_numpy().view(np.uint64)
+            new = np.concatenate([[True], changes(t)])
             group = np.cumsum(new)
             order = np.lexsort((fp, group))
             node = (t["node"].to_numpy() if extra else fp.view(np.int64))[order]
@@ -230,9 +257,8 @@ def links(rows: DataFrame, budget: int = 3, most: int = 4096, fixed: int = 0, ch
             if held < buffer_rows:
                 continue
             table = pa.Table.from_batches(waiting).combine_chunks()
-            mask, value = table["mask"].to_numpy(), table["value"].to_numpy()
-            whole = np.flatnonzero((mask != mask[-1]) | (value != value[-1]))
-            cut = int(whole[-1]) + 1 if len(whole) else 0  # the last group may go on
+            starts = np.flatnonzero(changes(table))
+            cut = int(starts[-1]) + 1 if len(starts) else 0  # the last group may go on
             if cut:
                 yield found(table.slice(0, cut))
             waiting, held = table.slice(cut).to_batches(), table.num_rows - cut
@@ -240,25 +266,43 @@ def links(rows: DataFrame, budget: int = 3, most: int = 4096, fixed: int = 0, ch
             yield found(pa.Table.from_batches(waiting).combine_chunks())
 
     def joined(part: DataFrame) -> DataFrame:
-        return part.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "node long, other long")
+        celled = part if "cell" in part.columns else part.withColumn("cell", F.lit(0).cast("long"))
+        return celled.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "node long, other long")
 
     masks = {fixed: parts([b for b in range(BITS) if not fixed >> b & 1], blocks)}
     part = keyed(rows.withColumn("mask", F.lit(signed(fixed)).cast("long")), masks, extra)
     out: DataFrame | None = None
     while True:
-        large = materialised(part.groupBy("mask", "value").count().where(F.col("count") > most).select("mask", "value"))
+        large = materialised(part.groupBy("mask", "value").count().where(F.col("count") > most))
         free = {m | p: [b for b in range(BITS) if not (m | p) >> b & 1] for m, ps in masks.items() for p in ps}
         if not large.head(1):
             ready = joined(part)
             return ready if out is None else out.unionAll(ready)
         ready = joined(part.join(large, ["mask", "value"], "left_anti"))
         out = ready if out is None else out.unionAll(ready)
+        if extra:  # an fp that repeats would go to every part of every split
+            spent = [signed(m) for m, bits in free.items() if 1 << len(bits) <= most]
+            kinds = part.join(large, ["mask", "value"]).groupBy("mask", "value", "count").agg(F.count_distinct("fp").alias("kinds"))
+            dull = F.col("mask").isin(spent) | (2 * F.col("kinds") <= F.col("count"))
+            sized = materialised(kinds.withColumn("dull", dull))
+            out = out.unionAll(joined(cells(part.join(sized.where("dull").select("mask", "value", "count"), ["mask", "value"]), max(1, most // 4))))
+            large = sized.where("not dull")
+            if not large.head(1):
+                return out
         # A group with b bits free has at most 2 ** b members; one that is too large has a bit for each block.
         masks = {m: parts(bits, blocks) for m, bits in free.items() if 1 << len(bits) > most}
         split = part.join(large, ["mask", "value"], "left_semi").select("mask", "fp", *extra).distinct()
         part = keyed(materialised(split), masks, extra)
 
 
+def cells(rows: DataFrame, most: int) -> DataFrame:
+    """rows (mask, value, count, node, ...) of groups of count rows each, with a cell added: blocks of
+    about `most` rows, and a cell for each pair of blocks."""
+    n = F.ceil(F.col("count") / most).cast("long")
+    dealt = rows.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("node", "fp"), "n")).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return dealt.withColumn("cell", F.least("block", "met") * F.col("n") + F.greatest("block", "met")).drop("n", "block", "met", "count")
+
+
 def keyed(rows: DataFrame, masks: dict[int, list[int]], extra: list[str]) -> DataFrame:
     """(mask, value, fp, *extra): each row once for each larger mask that its mask is split into."""
     larger = {signed(m): np.array([m | p for p in ps], np.uint64).view(np.int64) for m, ps in masks.items()}
@@ -339,14 +383,14 @@ def similar_groups(marked: DataFrame, budget: int, check_bits: int) -> DataFrame
     most budget bits and the check in at most check_bits."""
     distinct = materialised(marked.groupBy("fp").agg(F.min(first_row("id")).alias("first"), *(F.first(c).alias(c) for c in ("bands", "check_1", "check_2"))))
     banded = distinct.select(F.explode("bands").alias("band"), F.col("fp").alias("node"), "check_1", "check_2")
-    # Texts that share a band's fingerprint: one stands for them in the trie, the others are linked to it.
-    stand = F.min(F.struct("node", "check_1", "check_2")).alias("stand")
-    vertices = materialised(banded.groupBy(F.col("band").alias("fp")).agg(stand, F.count("*").alias("n")).select("fp", "stand.*", "n"))
-    shared = materialised(vertices.where("n > 1").select(F.col("fp").alias("of_band"), F.col("node").alias("other"), F.col("check_1").alias("other_1"), F.col("check_2").alias("other_2")))
-    differ = F.bit_count(F.col("check_1").bitwiseXOR(F.col("other_1"))) + F.bit_count(F.col("check_2").bitwiseXOR(F.col("other_2")))
-    equal = banded.join(shared, banded["band"] == shared["of_band"]).where((F.col("node") != F.col("other")) & (differ <= check_bits)).select("node", "other")
+    # Only rows of equal band and check are one; any other of the band could be alike to what this one isn't.
+    key = [F.col("band").alias("fp"), "check_1", "check_2"]
+    vertices = materialised(banded.groupBy(*key).agg(F.min("node").alias("node")).select("fp", "node", "check_1", "check_2"))
+    of = F.struct("fp", "check_1", "check_2")
+    stood = vertices.select(of.alias("of"), F.col("node").alias("other"))
+    equal = banded.select(F.struct(*key).alias("at"), "node").join(stood, F.col("at") == F.col("of")).where("node <> other").select("node", "other")
     fixed = (1 << BITS) - (1 << BAND_BITS)  # the number of the band stands above its bits
-    near = links(vertices.select("fp", "node", "check_1", "check_2"), budget, fixed=fixed, check_bits=check_bits)
+    near = links(vertices, budget, fixed=fixed, check_bits=check_bits)
     return keepers(distinct.select("fp", "first"), equal.unionAll(near))
 
 

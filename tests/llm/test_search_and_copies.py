@@ -173,6 +173,34 @@ def test_a_group_in_one_band_is_split_and_checked(spark):
     assert found == {k: 0 for k in range(60)} | {99: 99}
 
 
+def marked_rows(spark, rows):
+    """What bands() makes, of rows (fp, value of all ten bands, check_1, check_2)."""
+    return spark.createDataFrame([(k, k, k, [b << 48 | v for b in range(10)], c1, c2) for k, v, c1, c2 in rows], "id long, text_hash long, fp long, bands array<long>, check_1 long, check_2 long")
+
+
+def test_texts_of_one_band_value_are_compared_with_each_other(spark):
+    """1 and 2 are near copies, 0 shares their bands but is unlike both; likewise 3 and 4, a bit away."""
+    far, other = (1 << 40) - 1, (1 << 40) - 1 << 20
+    rows = [(0, 77, 0, 0), (1, 77, far, 0), (2, 77, far ^ 3, 0), (3, 77, other, other), (4, 76, other ^ 5, other)]
+    found = {x.fp: x.component_id for x in simhash.similar_groups(marked_rows(spark, rows), 3, 21).collect()}
+    assert found == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_a_band_value_of_many_texts_is_dealt_to_cells(spark):
+    """200 texts of one value in groups of at most 20; those of a parity are alike, and no others."""
+    rows = [(7, k, (k % 2) * ((1 << 40) - 1) ^ 1 << 41 + k % 20, k) for k in range(200)]
+    df = spark.createDataFrame(rows, "fp long, node long, check_1 long, check_2 long")
+    root = {r.node: r.root for r in components(simhash.links(df, 3, most=20, check_bits=21)).collect()}
+    assert {k: root.get(k, k) for k in range(200)} == {k: k % 2 for k in range(200)}
+
+
+def test_many_equal_leaves_are_compared_in_parts():
+    n = 100
+    checks = np.arange(n) % 3
+    a, b = simhash.trie_links(np.zeros(n, int), np.full(n, 9, np.uint64), 3, lambda x, y: checks[x] == checks[y], most_pairs=50)
+    assert dict(zip(a.tolist(), b.tolist())) == {k: k % 3 for k in range(3, n)}
+
+
 @pytest.mark.parametrize("most", [4096, 20])
 def test_trie_join_finds_every_link(spark, most):
     rng = np.random.default_rng(2)
