@@ -85,16 +85,24 @@ def fingerprint(text: str, shingle_words: int = 3) -> int:
     return majority(counts, total)
 
 
+def distinct_shingles(text: str, shingle_words: int) -> np.ndarray:
+    """The hashes of the shingles as a set: sorted, none twice."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle_words)]))
+
+
+def bits_of(h: np.ndarray, n: int) -> list[int]:
+    """n fingerprints of a set of hashes, as if of n hash functions: each mixes the hashes another way."""
+    found = []
+    for k in range(n):
+        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << BITS) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        found.append(majority(ones(x * np.uint64(0xD6E8FEB86659FD93)), len(h)))
+    return found
+
+
 def words_of_bits(text: str, shingle_words: int, n: int) -> list[int]:
-    """n fingerprints, as if of n hash functions: each mixes the hashes another way."""
-    counts, total = np.zeros((n, BITS), np.int64), 0
-    for h in shingle_hashes(text, shingle_words):
-        total += len(h)
-        for k in range(n):
-            x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << BITS) - 1)) * np.uint64(0xD6E8FEB86659FD93)
-            x ^= x >> np.uint64(32)
-            counts[k] += ones(x * np.uint64(0xD6E8FEB86659FD93))
-    return [majority(c, total) for c in counts]
+    """n fingerprints over distinct shingles, so that a run of one word weighs no more than once."""
+    return bits_of(distinct_shingles(text, shingle_words), n)
 
 
 def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 3, slice_bytes: int = 4 << 20) -> DataFrame:
@@ -352,8 +360,9 @@ def near_duplicates(df: DataFrame, budget: int = 3, shingle_words: int = 3, id_c
 
 
 def bands(df: DataFrame, n_bands: int, id_column: str = "doc_id", text_column: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
-    """(id, text_hash, fp, bands, check_1, check_2): n_bands fingerprints of 48 bits over three-word
-    shingles, and 128 bits over five-word shingles; fp is a hash of all of them."""
+    """(id, text_hash, fp, bands, check_1, check_2, size): n_bands fingerprints of 48 bits over three-word
+    shingles, and 128 bits over five-word shingles; fp is a hash of the set of five-word shingles (which
+    fixes all the others), size the number of these."""
     import xxhash
 
     kind = df.schema[id_column].dataType.simpleString()
@@ -362,26 +371,37 @@ def bands(df: DataFrame, n_bands: int, id_column: str = "doc_id", text_column: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_column, slice_bytes):
-                found, checks, fps = [], [], []
+                found, checks, fps, sizes = [], [], [], []
                 for text in batch.column(2):
                     t = text.as_py() or ""
                     band = [k << BAND_BITS | x & low for k, x in enumerate(words_of_bits(t, 3, n_bands))]
-                    check = words_of_bits(t, 5, 2)
+                    five = distinct_shingles(t, 5)
                     found += band
-                    checks.append(check)
-                    fps.append(xxhash.xxh3_64_intdigest(np.array([*band, *check], np.uint64).tobytes()))
+                    checks.append(bits_of(five, 2))
+                    fps.append(xxhash.xxh3_64_intdigest(five.tobytes()))
+                    sizes.append(len(five))
                 one, two = np.array(checks, np.uint64).reshape(-1, 2).T
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * n_bands), pa.array(found, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), lists, *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (one, two))], ["id", "text_hash", "fp", "bands", "check_1", "check_2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), lists, *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (one, two)), pa.array(sizes, pa.int64())], ["id", "text_hash", "fp", "bands", "check_1", "check_2", "size"])
 
     rows = df.select(id_column, F.xxhash64(text_column).alias("text_hash"), text_column)
-    return rows.mapInArrow(run, f"id {kind}, text_hash long, fp long, bands array<bigint>, check_1 long, check_2 long")
+    return rows.mapInArrow(run, f"id {kind}, text_hash long, fp long, bands array<bigint>, check_1 long, check_2 long, size long")
 
 
 def similar_groups(marked: DataFrame, budget: int, check_bits: int) -> DataFrame:
     """(fp, component_id, keeper) of texts of bands(): linked are texts of which a band differs in at
     most budget bits and the check in at most check_bits."""
-    distinct = materialised(marked.groupBy("fp").agg(F.min(first_row("id")).alias("first"), *(F.first(c).alias(c) for c in ("bands", "check_1", "check_2"))))
+    distinct = distinct_texts(marked)
+    return keepers(distinct.select("fp", "first"), similar_links(distinct, budget, check_bits))
+
+
+def distinct_texts(marked: DataFrame) -> DataFrame:
+    rest = [c for c in marked.columns if c not in ("id", "text_hash", "fp")]
+    return materialised(marked.groupBy("fp").agg(F.min(first_row("id")).alias("first"), *(F.first(c).alias(c) for c in rest)))
+
+
+def similar_links(distinct: DataFrame, budget: int, check_bits: int) -> DataFrame:
+    """(node, other) of distinct_texts(): enough links to connect all that similar_groups() links."""
     banded = distinct.select(F.explode("bands").alias("band"), F.col("fp").alias("node"), "check_1", "check_2")
     # Only rows of equal band and check are one; any other of the band could be alike to what this one isn't.
     key = [F.col("band").alias("fp"), "check_1", "check_2"]
@@ -391,20 +411,97 @@ def similar_groups(marked: DataFrame, budget: int, check_bits: int) -> DataFrame
     equal = banded.select(F.struct(*key).alias("at"), "node").join(stood, F.col("at") == F.col("of")).where("node <> other").select("node", "other")
     fixed = (1 << BITS) - (1 << BAND_BITS)  # the number of the band stands above its bits
     near = links(vertices, budget, fixed=fixed, check_bits=check_bits)
-    return keepers(distinct.select("fp", "first"), equal.unionAll(near))
+    return equal.unionAll(near)
+
+
+def jaccard_links(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (index, smaller index) that connect all pairs of these sets with a Jaccard of `least` or more."""
+    root = np.arange(len(sets))
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    full = sizes > 0  # reduceat has no empty ranges
+    has = np.zeros(len(flat) + 1, bool)
+    for i in range(len(sets) - 1):
+        apart = (root != root[i]) & (np.arange(len(sets)) > i)
+        apart &= np.minimum(sizes, sizes[i]) >= least * np.maximum(sizes, sizes[i]) - 1  # the set is no larger than the union
+        if not (apart & full).any() or not sizes[i]:
+            continue
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        has[own] = True
+        common = np.zeros(len(sets), np.int64)
+        common[full] = np.add.reduceat(has[flat], starts[full], dtype=np.int64)
+        has[own] = False
+        near = np.flatnonzero(apart & (common / np.maximum(sizes + sizes[i] - common, 1) >= least))
+        join(root, np.full(len(near), i), near)
+    linked = np.flatnonzero(root != np.arange(len(sets)))
+    return linked, root[linked]
+
+
+def texts_of(df: DataFrame, members: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(*members, text) of members (id, text_hash, ...). Other rows are left out before the shuffle, all
+    but a few: by a bitmap of the members' hashes, of 8 MB at most however many they are."""
+    of = F.xxhash64("id", "text_hash")
+    bits = 1 << min(26, max(16, (16 * members.count()).bit_length()))
+    place = members.select(F.pmod(of, F.lit(bits).cast("long")).alias("b"))
+    held = place.groupBy(F.shiftright("b", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 AS int)))").alias("word")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[held["at"].to_numpy()] = held["word"].to_numpy()
+    sent = df.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(3).to_numpy()
+            yield batch.filter(pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1))
+
+    rows = df.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
+    rows = rows.withColumn("b", F.pmod(of, F.lit(bits).cast("long")))
+    found = rows.mapInArrow(run, rows.schema).select(F.col("id").alias("row_id"), F.col("text_hash").alias("row_hash"), "text")
+    return found.join(members, found["row_id"].eqNullSafe(members["id"]) & (found["row_hash"] == members["text_hash"])).drop("row_id", "row_hash")
 
 
-def keep_first(df: DataFrame, n_bands: int = 10, budget: int = 3, check_bits: int = 21, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def exact_links(df: DataFrame, distinct: DataFrame, candidates: DataFrame, least: float, id_column: str, text_column: str, most: int = 64, most_shingles: int = 1 << 20) -> DataFrame:
+    """(node, other): all pairs of a component of candidates are compared by the sets of their five-word
+    shingles; linked are those with a Jaccard of `least` or more.
+
+    A large component is dealt to blocks, and a cell for each pair of blocks holds at most about
+    2 * most texts; the links of a cell connect what it found, so texts already connected are not compared again.
+    """
+    roots = materialised(components(candidates))
+    labels = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = materialised(labels.join(distinct, labels["node"] == distinct["fp"]).select("node", F.col("root").alias("label"), "size", "first.id", "first.text_hash"))
+    blocks = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("size") / most_shingles)).cast("long")
+    sized = materialised(members.groupBy(F.col("label").alias("of_label")).agg(blocks.alias("n")))
+    dealt = materialised(members.join(sized, members["label"] == sized["of_label"]).drop("of_label", "size"))
+    texts = texts_of(df, dealt, id_column, text_column).withColumn("block", F.pmod(F.xxhash64("node"), "n"))
+    met = texts.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    celled = met.select("label", F.least("block", "met").alias("low"), F.greatest("block", "met").alias("high"), "node", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, first = np.unique(table["node"].to_numpy(), return_index=True)
+        sets = [distinct_shingles(table["text"][int(k)].as_py() or "", 5) for k in first]
+        a, b = jaccard_links(sets, least)
+        return pa.table({"node": node[a], "other": node[b]})
+
+    return celled.groupBy("label", "low", "high").applyInArrow(run, "node long, other long")
+
+
+def keep_first(df: DataFrame, n_bands: int = 10, budget: int = 3, check_bits: int = 21, id_column: str = "doc_id", text_column: str = "text", least: float | None = None) -> DataFrame:
     """The rows of df, one of each group of near copies: that of the smallest id (ids that are null come
     last, equal ones go by their fingerprints and texts). Rows that repeat are one. Columns stay.
 
-    Near copies are texts of which at least 0.8 of the five-word shingles are shared. One fingerprint
-    within 3 of 64 bits would miss most of these; so there are n_bands of 48 bits, each joined by its
-    own tries, and a check of 128 bits over five-word shingles decides. At a similarity of s, a bit
-    differs with probability acos(2s / (1 + s)) / pi: 0.15 of the check's bits at 0.8, within 21 of 128.
+    One fingerprint within 3 of 64 bits would miss most texts of which 0.8 of the five-word shingles are
+    shared; so there are n_bands of 48 bits, each joined by its own tries, and a check of 128 bits over
+    five-word shingles. At a similarity of s, a bit differs with probability acos(2s / (1 + s)) / pi:
+    0.15 of the check's bits at 0.8. With `least`, these bits only propose, and texts are near copies if
+    the Jaccard of their sets of five-word shingles is `least` or more; without, the bits decide.
     """
     marked = materialised(bands(df, n_bands, id_column, text_column))
-    found = similar_groups(marked, budget, check_bits).select("keeper.id", "keeper.text_hash").distinct().select(F.col("id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+    distinct = distinct_texts(marked)
+    links_of = similar_links(distinct, budget, check_bits)
+    if least is not None:
+        links_of = materialised(exact_links(df, distinct, links_of, least, id_column, text_column))
+    found = keepers(distinct.select("fp", "first"), links_of).select("keeper.id", "keeper.text_hash").distinct().select(F.col("id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
     hashed = df.withColumn("_text_hash", F.xxhash64(text_column))
     kept = hashed.join(found, hashed[id_column].eqNullSafe(found["_kept_id"]) & (hashed["_text_hash"] == found["_kept_hash"]), "left_semi")
     return kept.dropDuplicates([id_column, "_text_hash"]).drop("_text_hash")

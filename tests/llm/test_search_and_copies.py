@@ -150,6 +150,49 @@ def test_keep_first_finds_near_copies(spark):
     assert set(kept) == {min(i for (i, *_), k in zip(rows, roots) if k == c and i is not None) for c in roots}
 
 
+def test_near_copies_are_decided_by_exact_similarity(spark):
+    """Unrelated texts that share a run of one word, blocks moved or changed, and copies on both sides of 0.8."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    texts = [words(n) + ["-"] * int(n * share) for n, share in [(300, 0.1), (1000, 0.05), (3000, 0.05), (200, 0.3)] for _ in range(4)]
+    for _ in range(12):
+        base = words(400)
+        moved = base[200:] + base[:200]
+        changed = base[:50] + words(r.randrange(5, 150)) + base[150:]
+        texts += [base, moved, changed, base + ["-"] * 300]
+    df, _ = documents(spark, [" ".join(t) for t in texts])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    assert not any(near(a, b) for i, a in enumerate(sets[:16]) for b in sets[:i])
+    got = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    roots = linked(sets, near)
+    want = set(roots)
+    assert set(range(16)) <= got and want <= got
+    assert all(k not in got for k in range(16, len(texts)) if k not in want and (k % 4 == 3 or k % 4 == 1))
+
+
+@pytest.mark.parametrize("most", [64, 3])
+def test_exact_links_in_cells(spark, most):
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(100)]
+    texts = []
+    for _ in range(25):
+        base = list(base)
+        base[r.randrange(100)] = f"new{r.random()}"
+        texts.append(" ".join(base))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    marked = simhash.bands(df, 2)
+    distinct = simhash.distinct_texts(marked)
+    fps = {x.doc: x.fp for x in distinct.select(F.col("first.id").alias("doc"), "fp").collect()}
+    chain = spark.createDataFrame([(fps[k], fps[k - 1]) for k in range(1, 25)], "node long, other long")
+    root = {x.node: x.root for x in components(simhash.exact_links(df, distinct, chain, 0.92, "doc_id", "text", most=most)).collect()}
+    label = [root.get(fps[k], fps[k]) for k in range(25)]
+    want = linked(texts, lambda a, b: similarity(a, b) >= 0.92)
+    assert len(set(zip(label, want))) == len(set(label)) == len(set(want))
+
+
 def test_keep_first_of_odd_texts(spark):
     df, rows = documents(spark)
     kept = simhash.keep_first(df)
