@@ -29,7 +29,7 @@ class StorageConfig:
 class HotConfig:
     max_records: int = 1_000_000
     eviction_threshold_pct: float = 0.9
-    wal_enabled: bool = True
+    merge_rows: int = 25_000  # batches of fewer rows are merged once they hold so many together; 0: never
 
 
 @dataclass
@@ -37,9 +37,10 @@ class WarmConfig:
     enabled: bool = True
     max_memory_mb: int = 4096
     eviction_threshold_pct: float = 0.85
-    target_pct: float = 0.7
+    target_pct: float = 0.7  # what an eviction brings the tier down to
+    aggressive_pct: float = 0.6  # the threshold when asked to make room early
+    least_pct: float = 0.1  # what an eviction frees at least
     bytes_per_record: int = 64
-    wal_enabled: bool = True
 
     @property
     def max_records(self) -> int:
@@ -51,6 +52,7 @@ class ColdConfig:
     compression: str = "snappy"
     max_records_per_file: int = 200_000
     bloom_filter_columns: list[str] = field(default_factory=list)
+    sort_columns: list[str] = field(default_factory=list)  # order within files; empty: by time
 
 
 @dataclass
@@ -67,7 +69,7 @@ class SchemaConfig:
 @dataclass
 class LoggingConfig:
     level: str = "INFO"
-    file: str | None = None
+    file: str | None = None  # a name without a folder is in storage.logs_path
 
 
 @dataclass
@@ -123,11 +125,48 @@ def load_config(path: str | os.PathLike | None = None, overrides: Mapping[str, M
     return config
 
 
-def logger(config: LoggingConfig | None = None) -> logging.Logger:
+_shared: Config | None = None
+
+
+def get_config(path: str | os.PathLike | None = None) -> Config:
+    """The configuration of this process: loaded when first asked for, and again if a path is given."""
+    global _shared
+    if _shared is None or path is not None:
+        _shared = load_config(path)
+    return _shared
+
+
+def reset_config() -> None:
+    """The next get_config() loads anew."""
+    global _shared
+    _shared = None
+
+
+def log_file(config: Config) -> Path | None:
+    """Where the log is written; None if nowhere."""
+    if not config.logging.file:
+        return None
+    file = Path(config.logging.file)
+    return file if file.parent != Path(".") else Path(config.storage.path("logs")) / file
+
+
+def set_level(level: str) -> None:
+    logging.getLogger("lamina").setLevel(level.upper())
+
+
+def logger(config: Config | None = None) -> logging.Logger:
     """The package's logger: warnings to the console, all of the level to the file if one is set."""
     log = logging.getLogger("lamina")
+    if not any(getattr(h, "_lamina_console", False) for h in log.handlers):
+        console = logging.StreamHandler()
+        console.setLevel(logging.WARNING)
+        console._lamina_console = True
+        log.addHandler(console)
+        log.propagate = False
     if config is not None:
-        log.setLevel(config.level.upper())
-        if config.file and not any(isinstance(h, logging.FileHandler) and h.baseFilename == os.path.abspath(config.file) for h in log.handlers):
-            log.addHandler(logging.FileHandler(config.file))
+        set_level(config.logging.level)
+        file = log_file(config)
+        if file and not any(isinstance(h, logging.FileHandler) and h.baseFilename == os.path.abspath(file) for h in log.handlers):
+            file.parent.mkdir(parents=True, exist_ok=True)
+            log.addHandler(logging.FileHandler(file))
     return log

@@ -3,6 +3,7 @@
 Operators are >=, >, <= and <; ==, != and is_null are extensions. Constants are cast to the column's
 type, so that comparisons reach the scan. What the grammar means where SQL would differ:
 
+* times are instants, whatever the session's zone: naive constants, and strings without an offset, are UTC;
 * a comparison with None holds for no row; None in a list matches nulls; an empty list matches none;
 * NaN fails every comparison and equality, and matches only a NaN in a list.
 """
@@ -21,10 +22,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamina.functions.moments import DAY, TEMPORAL, literal, micros
+
 COMPARISONS = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt}
 EXTENSIONS = ("==", "!=", "is_null")
 FRACTIONAL = (T.FloatType, T.DoubleType)
-TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 #: What each kind of column may be compared with.
 CONSTANTS = (
     ((T.BooleanType,), (bool,)),
@@ -44,10 +46,11 @@ def constant(value: Any, kind: T.DataType, column: str) -> Column:
         if isinstance(kind, kinds):
             if not isinstance(value, types) or (isinstance(value, bool) and bool not in types):
                 raise FilterError(f"column {column} is {kind.simpleString()} and can't be compared with {value!r}")
-            if isinstance(kind, T.TimestampNTZType) and isinstance(value, dt.datetime) and value.tzinfo:
-                value = value.astimezone(dt.UTC).replace(tzinfo=None)
-            if isinstance(kind, T.TimestampType) and isinstance(value, dt.datetime) and not value.tzinfo:
-                value = value.replace(tzinfo=dt.UTC)  # naive constants are UTC
+            if isinstance(kind, TEMPORAL):
+                try:
+                    return literal(value, kind)
+                except ValueError as error:
+                    raise FilterError(f"column {column} can't be compared with {value!r}: {error}") from None
             if isinstance(kind, T.IntegralType) and isinstance(value, (float, decimal.Decimal)):
                 return F.lit(value)  # casting 2.5 to an integer would change the comparison
             return F.lit(value).cast(kind)
@@ -102,18 +105,18 @@ def compile_filters(filters: Mapping[str, Any] | None, schema: T.StructType, str
     return functools.reduce(operator.and_, out) if out else None
 
 
-def time_bounds(filters: Mapping[str, Any] | None, column: str) -> tuple[dt.datetime | None, dt.datetime | None]:
-    """The closed range of times outside of which no row can pass; None: no bound. Naive, in UTC."""
+def time_bounds(filters: Mapping[str, Any] | None, column: str, kind: T.DataType | None) -> tuple[int | None, int | None]:
+    """The closed range of times outside of which no row can pass, in microseconds since the epoch;
+    None: no bound. Constants mean what the filter itself makes of them."""
+    if not isinstance(kind, TEMPORAL):
+        return None, None
 
-    def moment(value: Any) -> dt.datetime | None:
-        if isinstance(value, str):
-            try:
-                value = dt.datetime.fromisoformat(value)
-            except ValueError:
-                return None
-        if isinstance(value, dt.datetime):
-            return value.astimezone(dt.UTC).replace(tzinfo=None) if value.tzinfo else value
-        return dt.datetime.combine(value, dt.time()) if isinstance(value, dt.date) else None
+    def moment(value: Any) -> int | None:
+        try:
+            at = micros(value)
+        except (ValueError, TypeError):
+            return None
+        return at - at % DAY if isinstance(kind, T.DateType) else at
 
     wanted = (filters or {}).get(column)
     if isinstance(wanted, Mapping):
@@ -126,5 +129,5 @@ def time_bounds(filters: Mapping[str, Any] | None, column: str) -> tuple[dt.date
         return min(known), max(known)
     else:
         lows = highs = [moment(wanted)]
-    lows, highs = [x for x in lows if x], [x for x in highs if x]
+    lows, highs = [x for x in lows if x is not None], [x for x in highs if x is not None]
     return max(lows, default=None), min(highs, default=None)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,3 +58,37 @@ def query(
     if limit is not None:
         out = out.limit(limit)
     return out.select(*(f"`{c}`" for c in columns)) if columns is not None else out
+
+
+def batches(df: DataFrame, size: int) -> Iterator[pa.RecordBatch]:
+    """df as Arrow batches of `size` rows (the last one may have fewer), in df's order. Workers make
+    batches of that size; what crosses to the driver is whole batches, a partition at a time."""
+    schema = df.limit(0).toArrow().schema
+
+    def sliced(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, rows = [], 0
+        for part in parts:
+            held.append(part)
+            rows += part.num_rows
+            if rows >= size:
+                table = pa.Table.from_batches(held)
+                whole = rows - rows % size
+                for at in range(0, whole, size):
+                    yield table.slice(at, size)
+                held, rows = table.slice(whole).to_batches(), rows - whole
+        if rows:
+            yield pa.Table.from_batches(held)
+
+    def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sliced(parts):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+    def received() -> Iterator[pa.RecordBatch]:
+        for row in df.mapInArrow(packed, "batch binary").toLocalIterator(prefetchPartitions=True):
+            yield from pa.ipc.open_stream(row[0]).read_all().cast(schema).to_batches()
+
+    for table in sliced(received()):
+        yield from table.combine_chunks().to_batches()

@@ -7,33 +7,58 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lamina.functions import moments
+from lamina.functions.moments import literal
+from lamina.sources.shared import materialised
 
-def day_of(time_column: str) -> Column:
-    return F.to_date(F.col(time_column))
 
+def day_of(time_column: str, kind: T.DataType = T.TimestampNTZType()) -> Column:
+    """The UTC day."""
+    return moments.day_of(F.col(time_column), kind)
 
-def tier_of(time_column: str, hot_from: dt.datetime, warm_from: dt.datetime) -> Column:
+
+def tier_of(time_column: str, hot_from: dt.datetime, warm_from: dt.datetime, kind: T.DataType = T.TimestampNTZType()) -> Column:
     """hot, warm or cold by age."""
     time = F.col(time_column)
-    return F.when(time >= F.lit(hot_from).cast("timestamp_ntz"), "hot").when(time >= F.lit(warm_from).cast("timestamp_ntz"), "warm").otherwise("cold")
+    return F.when(time >= literal(hot_from, kind), "hot").when(time >= literal(warm_from, kind), "warm").otherwise("cold")
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """df with the place of each row in that order, from 1. Rows are range-partitioned, sorted and
+    numbered within, and written once; the partitions' sizes, one number each, give the offsets."""
+    placed = materialised(df.orderBy(*order).withColumn(name, F.monotonically_increasing_id()))
+    part, at = F.shiftright(name, 33), F.col(name).bitwiseAND((1 << 33) - 1)
+    sizes = sorted(r[:] for r in placed.groupBy(part).count().collect())
+    before, rows = 0, []
+    for number, size in sizes:
+        rows.append((number, before))
+        before += size
+    offsets = df.sparkSession.createDataFrame(rows or [(0, 0)], f"{name}_of long, {name}_before long")
+    joined = placed.join(F.broadcast(offsets), part == F.col(f"{name}_of"))
+    return joined.select(*(f"`{c}`" for c in df.columns), (F.col(f"{name}_before") + at + 1).alias(name))
 
 
 def tier_stats(df: DataFrame, time_column: str, tier_column: str = "tier") -> DataFrame:
-    return df.groupBy(tier_column).agg(
-        F.count("*").alias("total_records"), F.countDistinct(day_of(time_column)).alias("total_partitions"), F.min(time_column).alias("min_ts"), F.max(time_column).alias("max_ts")
-    )
+    day = day_of(time_column, df.schema[time_column].dataType)
+    return df.groupBy(tier_column).agg(F.count("*").alias("total_records"), F.countDistinct(day).alias("total_partitions"), F.min(time_column).alias("min_ts"), F.max(time_column).alias("max_ts"))
 
 
 def zone_maps(df: DataFrame, time_column: str, columns: Sequence[str] = ()) -> DataFrame:
     """Per day: rows, and smallest and largest value of the time and of each given column."""
     bounds = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
-    return df.groupBy(day_of(time_column).alias("run_id")).agg(F.count("*").alias("record_count"), F.min(time_column).alias("min_ts"), F.max(time_column).alias("max_ts"), *bounds)
+    return df.groupBy(day_of(time_column, df.schema[time_column].dataType).alias("run_id")).agg(F.count("*").alias("record_count"), F.min(time_column).alias("min_ts"), F.max(time_column).alias("max_ts"), *bounds)
 
 
 def can_contain(op: str, value, column: str) -> Column:
-    """May a zone with these bounds hold a row that passes? Unknown operators: it may."""
+    """May a zone with these bounds hold a row that passes? Unknown operators: it may. "in" takes a list."""
     low, high = F.col(f"min_{column}"), F.col(f"max_{column}")
+    if op == "in":
+        found = F.lit(False)
+        for v in value:
+            found = found | can_contain("==", v, column)
+        return found
     v = F.lit(value)
     return {">": high > v, ">=": high >= v, "<": low < v, "<=": low <= v, "==": (low <= v) & (high >= v)}.get(op, F.lit(True))
 
@@ -61,11 +86,13 @@ def evict_least_recent(partitions: DataFrame, key: str, size: str, last_access:
 
 def evict_oldest_share(batches: DataFrame, key: str, share: float = 0.25) -> DataFrame:
     """The oldest share of batches, one at least."""
-    ranked = batches.select(F.col(key), F.row_number().over(Window.orderBy(key)).alias("_rank"), F.count("*").over(Window.partitionBy()).alias("_n"))
-    return ranked.where(F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).select(key)
+    rank = "_rank"
+    ranked = numbered(batches.select(key), [F.col(key)], rank)
+    most = max(1, int(ranked.count() * share))
+    return ranked.where(F.col(rank) <= most).select(key)
 
 
 def dictionary(df: DataFrame, column: str, arrival: str) -> DataFrame:
     """Codes of a column's values in order of first arrival, with their counts."""
     values = df.groupBy(column).agg(F.min(arrival).alias("_first"), F.count("*").alias("n"))
-    return values.select(column, (F.row_number().over(Window.orderBy("_first")) - 1).cast("long").alias("code"), "n")
+    return numbered(values, [F.col("_first")], "_code").select(column, (F.col("_code") - 1).alias("code"), "n")

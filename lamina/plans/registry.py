@@ -7,9 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lamina.functions.moments import micros_of
 from lamina.operators import audit, stats
-from lamina.operators.query import query
+from lamina.operators.query import ordering, query
 from lamina.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,16 +41,10 @@ def tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sort_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The position of each row in a global sort, without a window over one partition: rows are
-    range-partitioned and numbered within, and partitions' sizes give the offsets."""
-    ordered = query(table(spark, sf_dir, "events"), sort_by="value", tie_break=["event_id"], columns=["event_id", "value"])
-    placed = ordered.select("event_id", "value", F.monotonically_increasing_id().alias("_id"))
-    numbered = placed.select("event_id", "value", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_at"))
-    from pyspark.sql import Window
-
-    sizes = numbered.groupBy(F.col("_part").alias("_of")).agg(F.count("*").alias("_size"))  # a row a partition
-    before = sizes.select("_of", F.coalesce(F.sum("_size").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return numbered.join(F.broadcast(before), F.col("_part") == F.col("_of")).select("event_id", "value", (F.col("_before") + F.col("_at") + 1).cast("int").alias("rn"))
+    """The position of each row in a global sort."""
+    rows = table(spark, sf_dir, "events").select("event_id", "value")
+    order = [*ordering("value", rows.schema["value"].dataType), *ordering("event_id", rows.schema["event_id"].dataType)]
+    return stats.numbered(rows, order, "rn").select("event_id", "value", F.col("rn").cast("int").alias("rn"))
 
 
 def limit_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,12 +128,189 @@ def store_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.query({"ts": {">=": dt.datetime(2024, 1, 10), "<": dt.datetime(2024, 1, 20)}})
 
 
+def _of_events(spark: SparkSession, sf_dir: str, parts: int = 3, **overrides):
+    """A store that took events in so many batches, and the events."""
+    from lamina.plans.store import open_store
+
+    store = open_store(spark, shared_folder(spark, "store"), "ts", **overrides)
+    rows = table(spark, sf_dir, "events")
+    for part in range(parts):
+        store.ingest(rows.where(F.pmod(F.hash("event_id"), F.lit(parts)) == part))
+    return store, rows
+
+
+def store_fast_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A look-up in cold runs that have got bloom filters."""
+    store, _ = _of_events(spark, sf_dir, 2)
+    store.migrate("hot")
+    store.migrate("warm")
+    store.build_index("user_id")
+    return store.fast_lookup("user_id", 42)
+
+
+def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest alone says of each tier, files of an older layout included."""
+    store, _ = _moved_store(spark, sf_dir)
+    store.adopt(f"{sf_dir}/events.parquet")
+    found = store.stats()
+    rows = [(t, found[t]["total_records"], found[t]["min_time"].replace(tzinfo=None).isoformat(" "), found[t]["max_time"].replace(tzinfo=None).isoformat(" ")) for t in ("hot", "warm", "cold")]
+    said = spark.createDataFrame(rows, "tier string, total_records long, min_ts string, max_ts string")
+    whole = said.agg(F.sum("total_records").alias("total_records"), F.min("min_ts").cast("timestamp_ntz").alias("min_ts"), F.max("max_ts").cast("timestamp_ntz").alias("max_ts"))
+    return whole.withColumn("wrong_tiers", F.lit(store.audit_tiers().count()).cast("long"))
+
+
+def store_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of an older layout beside the store's own runs."""
+    from lamina.plans.store import open_store
+
+    store = open_store(spark, shared_folder(spark, "store"), "ts")
+    old, rows = shared_folder(spark, "old"), table(spark, sf_dir, "events")
+    rows.where("event_id % 2 = 0").write.parquet(old)
+    store.adopt(old)
+    store.ingest(rows.where("event_id % 2 = 1"))
+    store.migrate("hot")
+    store.migrate("warm")
+    return store.query({"event_type": "click"})
+
+
+def store_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What another session finds after a move that broke off once it was published, and one before that."""
+    from lamina.plans.store import open_store
+
+    class Crash(Exception):
+        pass
+
+    def crash_at(step: str):
+        def on_step(at: str) -> None:
+            if at == step:
+                raise Crash
+
+        return on_step
+
+    store, _ = _of_events(spark, sf_dir, 4)
+    for step in ("published", "written"):
+        try:
+            store.migrate("hot", on_step=crash_at(step))
+        except Crash:
+            store = open_store(spark, store.path, "ts")
+    return store.query()
+
+
+def store_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budgets that each batch exceeds: rows found, and whether the tiers keep to their bounds."""
+    n = table(spark, sf_dir, "events").count()
+    store, rows = _of_events(spark, sf_dir, 6, hot_tier={"max_records": max(1, n // 3)}, warm_tier={"max_memory_mb": 1, "bytes_per_record": max(1, 3 * 1_048_576 // max(1, n))})
+    hot, warm = store.stats()["hot"], store.stats()["warm"]
+    kept = hot["capacity_pct"] <= 90 and warm["capacity_pct"] <= 85 and store.stats()["cold"]["total_records"] > 0
+    return store.query().agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids")).withColumn("kept_to_bounds", F.lit(kept))
+
+
+def store_no_warm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, _ = _of_events(spark, sf_dir, 2, warm_tier={"enabled": False})
+    store.migrate("hot")
+    store.migrate("hot")
+    return store.tier("cold").query({"value": {">": 45.0}})
+
+
+def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches, days and runs merged; an entry of each is left where there were several."""
+    store, _ = _of_events(spark, sf_dir, 6, hot_tier={"merge_rows": 0}, cold_tier={"sort_columns": ["event_type", "value"]})
+    for _ in range(3):
+        store.migrate("hot")
+        store.migrate("warm", rows=1)
+    for tier in ("hot", "warm", "cold"):
+        store.compact(tier)
+    found = store.stats()
+    merged = found["hot"]["entries"] <= 1 and found["warm"]["entries"] == found["warm"]["partitions"] and found["cold"]["entries"] == 1
+    return store.query().groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).withColumn("merged", F.lit(merged))
+
+
+def store_keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest two of four batches."""
+    store, _ = _of_events(spark, sf_dir, 0, hot_tier={"merge_rows": 0})
+    rows = table(spark, sf_dir, "events")
+    for part in range(4):
+        store.ingest(rows.where(F.pmod("event_id", F.lit(4)) == part))
+    store.retain(2)
+    return store.query()
+
+
+def store_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sorted result as Arrow batches: how many, their rows, and whether their order is the result's."""
+    store, _ = _of_events(spark, sf_dir, 2)
+    sizes, before, ordered = [], None, True
+    for batch in store.batches({"event_type": "view"}, sort_by="value", tie_break=["event_id"]):
+        sizes.append(batch.num_rows)
+        keys = list(zip(batch.column("value").to_pylist(), batch.column("event_id").to_pylist(), strict=True))
+        ordered &= keys == sorted(keys) and (before is None or before <= keys[0])
+        before = keys[-1]
+    return spark.createDataFrame([(len(sizes), sum(sizes), ordered)], "n_batches long, n long, ordered boolean")
+
+
+def store_in_another_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants stored, moved and queried while the session's zone is far from UTC."""
+    from lamina.plans.store import open_store
+    from lamina.sources.shared import materialised
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        store = open_store(spark, shared_folder(spark, "store"), "ts")
+        at = micros_of(F.col("ts"), T.TimestampNTZType())
+        rows = table(spark, sf_dir, "events").withColumn("ts", F.timestamp_micros(at))
+        for part in range(4):
+            store.ingest(rows.where(F.pmod("event_id", F.lit(4)) == part))
+        store.migrate("hot")
+        store.migrate("hot")
+        store.migrate("warm", rows=1)
+        found = store.query({"ts": {">=": dt.datetime(2024, 1, 10, 1, tzinfo=dt.UTC), "<": "2024-01-20 20:00:00"}})
+        return materialised(found.select("event_id", F.unix_micros("ts").alias("at")))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def store_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of files into a store, started twice: what is there already is not taken again."""
+    from lamina.plans.store import open_store
+    from lamina.streaming.ingest import ingest_stream
+
+    store = open_store(spark, shared_folder(spark, "store"), "ts")
+    rows, files, state = table(spark, sf_dir, "events"), shared_folder(spark, "stream"), shared_folder(spark, "stream-state")
+    rows.repartition(4, "event_id").write.parquet(files)
+    for _ in range(2):
+        source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(files)
+        ingest_stream(source, store, state, trigger={"availableNow": True}).awaitTermination()
+    store.wait()
+    return store.query()
+
+
 def fixture_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.sources.fixtures import simple
 
     return simple(spark, 10_000, 5000)
 
 
+def fixture_trading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.sources.fixtures import trading
+
+    return trading(spark, 10_000, 2000)
+
+
+def fixture_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.sources.fixtures import audit_records
+
+    return audit_records(spark, 10_000, 2500)
+
+
+def epoch_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of nanoseconds and of seconds since the epoch as times."""
+    from lamina.sources.schema import from_epoch
+
+    at = micros_of(F.col("ts"), T.TimestampNTZType())
+    rows = table(spark, sf_dir, "events").select("event_id", (at * 1000 + 999).alias("ns"), F.floor(at / 1_000_000).alias("s"))
+    return rows.select("event_id", *(F.unix_micros(from_epoch(unit, unit)).alias(f"from_{unit}") for unit in ("ns", "s")))
+
+
 def multi_key_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(table(spark, sf_dir, "lineitem"), sort_by=["l_shipdate", "l_extendedprice"], ascending=[True, False], tie_break=["l_orderkey", "l_linenumber"], limit=500)
 
@@ -245,6 +418,38 @@ REGISTERED: dict[str, tuple[Query, str]] = {
         "SELECT TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(600*(id//5000) + id%5000 AS BIGINT)) AS \"timestamp\", "
         "CASE (id%5000)%3 WHEN 0 THEN 'SYM_A' WHEN 1 THEN 'SYM_B' ELSE 'SYM_C' END AS symbol, CAST(round(100.0+10*(id//5000)+0.01*(id%5000),2) AS DOUBLE) AS price, CAST(10+id%5000 AS BIGINT) AS volume FROM range(10000) t(id)",
     ),
+    "zone_prune_in": (
+        lambda spark, sf_dir: stats.zone_prune(zones(spark, sf_dir, "user_id", "value"), [("user_id", "in", [-5, 3]), ("value", "in", [150.0, 220.0])]).select(F.col("run_id").cast("string")),
+        "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id FROM events GROUP BY 1 HAVING ((-5 BETWEEN min(user_id) AND max(user_id)) OR (3 BETWEEN min(user_id) AND max(user_id))) "
+        "AND ((150.0 BETWEEN min(value) AND max(value)) OR (220.0 BETWEEN min(value) AND max(value)))",
+    ),
+    "store_fast_lookup": (store_fast_lookup, f"{ALL} WHERE user_id = 42"),
+    "store_stats": (store_stats, "SELECT CAST(2 * count(*) AS BIGINT) AS total_records, min(ts) AS min_ts, max(ts) AS max_ts, CAST(0 AS BIGINT) AS wrong_tiers FROM events"),
+    "store_legacy": (store_legacy, f"{ALL} WHERE event_type = 'click'"),
+    "store_recovery": (store_recovery, ALL),
+    "store_budget": (store_budget, "SELECT count(*) AS n, count(DISTINCT event_id) AS n_ids, true AS kept_to_bounds FROM events"),
+    "store_no_warm": (store_no_warm, f"{ALL} WHERE value > 45.0"),
+    "store_compacted": (store_compacted, "SELECT event_type, count(*) AS n, min(event_id) AS first_id, true AS merged FROM events GROUP BY event_type"),
+    "store_keep_latest": (store_keep_latest, f"{ALL} WHERE event_id % 4 >= 2"),
+    "store_batches": (store_batches, "SELECT CAST(ceil(count(*) / 8192.0) AS BIGINT) AS n_batches, count(*) AS n, true AS ordered FROM events WHERE event_type = 'view'"),
+    "store_in_another_zone": (
+        store_in_another_zone,
+        "SELECT event_id, epoch_us(ts) AS at FROM events WHERE ts >= TIMESTAMP '2024-01-10 01:00:00' AND ts < TIMESTAMP '2024-01-20 20:00:00'",
+    ),
+    "store_stream": (store_stream, ALL),
+    "fixture_trading": (
+        fixture_trading,
+        "SELECT TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(CAST(round((i - 604800 * (b / 100.0)) * 1000000) AS BIGINT)) AS \"timestamp\", "
+        "printf('trade_%04d_%06d', b, w) AS trade_id, (['BTC/USD','ETH/USD','ADA/USD','SOL/USD','DOT/USD','LINK/USD'])[(i % 6) + 1] AS symbol, "
+        "printf('user_%06d', (1000 * b + w) % 10000) AS user_id, printf('order_%04d_%06d', b, w) AS order_id, "
+        "CAST(50000 + 10 * (b % 1000) + i % 100 AS DOUBLE) AS price, CAST(0.1 AS DOUBLE) + CAST(0.01 AS DOUBLE) * (i % 10) AS volume, CASE i % 2 WHEN 0 THEN 'buy' ELSE 'sell' END AS side "
+        "FROM (SELECT id // 2000 AS b, id % 2000 AS i, (2 * (id % 2000)) % 2000 AS w FROM range(10000) t(id)) x",
+    ),
+    "fixture_audit": (
+        fixture_audit,
+        "SELECT id AS record_id, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(60 * (id % 2500) + 3600 * (id // 2500)) AS \"timestamp\", 'AUDIT' AS symbol, CAST(id AS DOUBLE) AS value, id // 2500 AS batch_num FROM range(10000) t(id)",
+    ),
+    "epoch_times": (epoch_times, "SELECT event_id, epoch_us(ts) AS from_ns, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) * 1000000 AS from_s FROM events"),
     "windowed_counts": (
         lambda spark, sf_dir: _windowed(spark, sf_dir),
         "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",

@@ -16,17 +16,18 @@ def batch_size(records: int) -> int:
     return 25_000
 
 
-def _numbered(spark: SparkSession, records: int, size: int) -> DataFrame:
-    return spark.range(records).select(F.col("id"), F.expr(f"id div {size}").alias("b"), F.expr(f"id % {size}").alias("i"))
+def _numbered(spark: SparkSession, records: int, size: int, first: int) -> DataFrame:
+    return spark.range(first, records).select(F.col("id"), F.expr(f"id div {size}").alias("b"), F.expr(f"id % {size}").alias("i"))
 
 
 def _time(seconds: str):
     return F.expr(f"TIMESTAMP_NTZ '{START}' + make_dt_interval(0, 0, 0, {seconds})").alias("timestamp")
 
 
-def simple(spark: SparkSession, records: int, size: int | None = None) -> DataFrame:
-    """(timestamp, symbol, price, volume): each batch starts ten minutes after the one before."""
-    rows = _numbered(spark, records, size or batch_size(records))
+def simple(spark: SparkSession, records: int, size: int | None = None, first: int = 0) -> DataFrame:
+    """(timestamp, symbol, price, volume): each batch starts ten minutes after the one before. Of so many
+    records, those from `first` on."""
+    rows = _numbered(spark, records, size or batch_size(records), first)
     return rows.select(
         _time("600 * b + i"),
         F.expr("element_at(array('SYM_A', 'SYM_B', 'SYM_C'), int(i % 3) + 1)").alias("symbol"),
@@ -35,11 +36,11 @@ def simple(spark: SparkSession, records: int, size: int | None = None) -> DataFr
     )
 
 
-def trading(spark: SparkSession, records: int, size: int | None = None) -> DataFrame:
+def trading(spark: SparkSession, records: int, size: int | None = None, first: int = 0) -> DataFrame:
     """(timestamp, trade_id, symbol, user_id, order_id, price, volume, side): later batches are earlier
     in time."""
     size = size or batch_size(records)
-    rows = _numbered(spark, records, size)
+    rows = _numbered(spark, records, size, first)
     step = max(1, size // 1000)
     walk = f"(({step} * i) % {-(-size // step) * step})"
     symbols = ", ".join(f"'{s}/USD'" for s in ("BTC", "ETH", "ADA", "SOL", "DOT", "LINK"))
@@ -55,7 +56,7 @@ def trading(spark: SparkSession, records: int, size: int | None = None) -> DataF
     )
 
 
-def audit_records(spark: SparkSession, records: int, size: int = 50_000) -> DataFrame:
+def audit_records(spark: SparkSession, records: int, size: int = 50_000, first: int = 0) -> DataFrame:
     """(record_id, timestamp, symbol, value, batch_num): a batch spans many days."""
-    rows = _numbered(spark, records, size)
+    rows = _numbered(spark, records, size, first)
     return rows.select(F.col("id").alias("record_id"), _time("60 * i + 3600 * b"), F.lit("AUDIT").alias("symbol"), F.expr("double(id)").alias("value"), F.col("b").alias("batch_num"))

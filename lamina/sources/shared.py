@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder that the session names. Only where it names none (tests) is it the folder that was
-    set for checkpoints, or else a local one."""
+    """The folder that the session names. Where it names none, it is the folder that was set for
+    checkpoints; with neither, a local one, which only a local master can use."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lamina-checkpoint-"))
     return (named or context.getCheckpointDir()).rstrip("/")
 
@@ -27,3 +30,17 @@ def materialised(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
     shared_base(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, of which later reads take only the columns they need; and
+    its path, for discard()."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,12 +1,15 @@
 """Readers and writers of the three tiers, each a set of Parquet paths.
 
 hot: batches as they came. warm: one folder a day, by each ROW's own time. cold: year/month/day
-partitions, sorted by time within files, so that row-group statistics are zone maps.
+partitions, sorted within files (by time, if nothing else is asked for), so that row-group statistics
+are zone maps. Days are those of UTC, whatever the session's zone.
+
+Rows are dealt by hours when written, and the engine splits the hours that hold much and joins those
+that hold little: a busy hour is many tasks, an idle day few files.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,28 +17,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.config import ColdConfig
+from lamina.functions.moments import day, day_of, micros_of
 
-DAY = "_lamina_day"
+DAY, HOUR, RUN = "_lamina_day", "_lamina_hour", "_lamina_run"
 PARTS = ("_lamina_year", "_lamina_month", "_lamina_day")
 #: Rows without a time are in no day; they get a partition of their own.
 NO_DAY = "none"
 
 
+def name_of(column: str) -> str:
+    return f"`{column}`"
+
+
+def dealt(df: DataFrame, time_column: str) -> DataFrame:
+    hour = F.floor(micros_of(F.col(name_of(time_column)), df.schema[time_column].dataType) / 3_600_000_000)
+    return df.withColumn(HOUR, hour).hint("rebalance", HOUR).drop(HOUR)
+
+
 def write_batch(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 
 
-def write_days(df: DataFrame, path: str, time_column: str) -> None:
-    """One folder a day. Rows are dealt by day and hour, so a busy day is many tasks and an idle one
-    few files."""
-    day = F.coalesce(F.date_format(time_column, "yyyy-MM-dd"), F.lit(NO_DAY))
-    df.withColumn(DAY, day).repartition(DAY, F.hour(time_column)).sortWithinPartitions(DAY, time_column).write.partitionBy(DAY).parquet(path)
+def write_days(df: DataFrame, path: str, time_column: str, config: ColdConfig) -> None:
+    """One folder a day."""
+    day_name = F.date_format(day_of(F.col(name_of(time_column)), df.schema[time_column].dataType), "yyyy-MM-dd")
+    parts = dealt(df, time_column).withColumn(DAY, F.coalesce(day_name, F.lit(NO_DAY)))
+    parts.sortWithinPartitions(DAY, name_of(time_column)).write.option("maxRecordsPerFile", config.max_records_per_file).partitionBy(DAY).parquet(path)
 
 
 def write_cold(df: DataFrame, path: str, time_column: str, config: ColdConfig) -> None:
-    time = F.col(f"`{time_column}`")
-    parts = df.withColumns(dict(zip(PARTS, (F.year(time), F.month(time), F.dayofmonth(time)), strict=True)))
-    writer = parts.repartition(*PARTS, F.hour(time)).sortWithinPartitions(*PARTS, time).write
+    on = day_of(F.col(name_of(time_column)), df.schema[time_column].dataType)
+    parts = dealt(df, time_column).withColumns(dict(zip(PARTS, (F.year(on), F.month(on), F.dayofmonth(on)), strict=True)))
+    order = [F.col(name_of(c)).asc_nulls_last() for c in config.sort_columns or [time_column]]
+    writer = parts.sortWithinPartitions(*PARTS, *order).write
     writer = writer.option("compression", config.compression).option("maxRecordsPerFile", config.max_records_per_file)
     for column in config.bloom_filter_columns:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
@@ -47,21 +61,16 @@ def read_paths(spark: SparkSession, schema: T.StructType, paths: Sequence[str])
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def read_cold(spark: SparkSession, schema: T.StructType, runs: Sequence[str], legacy: Sequence[str], low: dt.datetime | None = None, high: dt.datetime | None = None) -> DataFrame:
-    """Cold runs, of which a range of times reads only the days that it touches; and files of older
-    layouts, which are in no partition. Partition columns are dropped."""
-    out = None
-    wide = T.StructType([*schema.fields, *(T.StructField(p, T.IntegerType()) for p in PARTS)])
-    for run in runs:
-        part = spark.read.schema(wide).option("basePath", run).parquet(run)
-        day = F.make_date(*PARTS)
-        if low is not None:
-            part = part.where(day >= F.lit(low.date()))
-        if high is not None:
-            part = part.where(day <= F.lit(high.date()))
-        part = part.drop(*PARTS)
-        out = part if out is None else out.unionByName(part)
-    if legacy:
-        old = read_paths(spark, schema, legacy)
-        out = old if out is None else out.unionByName(old)
-    return spark.createDataFrame([], schema) if out is None else out
+def read_cold(spark: SparkSession, schema: T.StructType, root: str, runs: Sequence[str], low: int | None = None, high: int | None = None) -> DataFrame:
+    """The rows of runs below root, in one scan however many they are. A range of times, in
+    microseconds since the epoch, reads only the days that it touches."""
+    if not runs:
+        return spark.createDataFrame([], schema)
+    wide = T.StructType([*schema.fields, T.StructField(RUN, T.StringType()), *(T.StructField(p, T.IntegerType()) for p in PARTS)])
+    out = spark.read.schema(wide).option("basePath", root).parquet(*runs)
+    on = F.make_date(*PARTS)
+    if low is not None:
+        out = out.where(on >= F.expr(f"DATE '{day(low).isoformat()}'"))
+    if high is not None:
+        out = out.where(on <= F.expr(f"DATE '{day(high).isoformat()}'"))
+    return out.drop(RUN, *PARTS)

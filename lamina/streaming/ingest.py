@@ -11,13 +11,13 @@ from lamina.plans.store import Store
 
 def ingest_stream(stream: DataFrame, store: Store, checkpoint: str, name: str = "ingest", trigger: dict | None = None) -> StreamingQuery:
     """Every micro-batch becomes a batch of the store, once: one that comes again after a failure is
-    known by its number. Late rows go to the day of their own time."""
+    known by its number. Late rows go to the day of their own time. store.wait() waits for it."""
 
     def take(batch: DataFrame, number: int) -> None:
         store.ingest(batch, origin=f"{name}:{number}")
 
     writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
-    return (writer.trigger(**trigger) if trigger else writer).start()
+    return store.watch((writer.trigger(**trigger) if trigger else writer).start())
 
 
 def windowed_counts(stream: DataFrame, time_column: str, key: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

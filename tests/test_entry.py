@@ -37,12 +37,13 @@ def test_entry_and_names(spark, sf):
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
-def test_imports_without_the_training_data_part(tmp_path):
-    """What the driver does: the folder and the pipeline go, and the rest works."""
-    for item in ("__spark_entry__.py", "lamina"):
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)])
+def test_imports_without_the_training_data_part(tmp_path, left):
+    """What the driver does: the folders go, with the pipeline or without, and the rest works."""
+    for item in ("__spark_entry__.py", "bench.py", "lamina", *left):
         subprocess.run(["cp", "-r", str(ROOT / item), str(tmp_path)], check=True)
     subprocess.run(["rm", "-rf", str(tmp_path / "lamina/llm")], check=True)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'scan_all' in q and not any(n.startswith('op') for n in q); e.oracle_sql()"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'scan_all' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
 
 

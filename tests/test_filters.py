@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 
+from lamina.functions.moments import micros
 from lamina.functions.filters import FilterError, compile_filters, time_bounds
 from lamina.operators.query import query
 
@@ -109,12 +110,16 @@ def test_extensions(df, rows):
 
 
 def test_time_bounds():
-    a, b = T0, T0 + dt.timedelta(days=2)
-    assert time_bounds({"t": {">=": a, "<": b}}, "t") == (a, b)
-    assert time_bounds({"t": [b, a]}, "t") == (a, b)
-    assert time_bounds({"t": a}, "t") == (a, a)
-    assert time_bounds({"x": 1}, "t") == (None, None)
-    assert time_bounds({"t": ["junk", a]}, "t") == (None, None)
+    a, b, kind = T0, T0 + dt.timedelta(days=2), T.TimestampNTZType()
+    x, y = micros(a), micros(b)
+    assert time_bounds({"t": {">=": a, "<": b}}, "t", kind) == (x, y)
+    assert time_bounds({"t": [b, a]}, "t", kind) == (x, y)
+    assert time_bounds({"t": a.isoformat() + "+00:00"}, "t", kind) == (x, x)
+    assert time_bounds({"x": 1}, "t", kind) == (None, None)
+    assert time_bounds({"t": ["junk", a]}, "t", kind) == (None, None)
+    assert time_bounds({"t": a}, "t", T.LongType()) == (None, None)
+    noon = dt.datetime(2024, 1, 1, 12)
+    assert time_bounds({"t": noon}, "t", T.DateType()) == (micros(dt.date(2024, 1, 1)),) * 2
 
 
 def test_plans_reach_the_scan(spark, tmp_path, df):
