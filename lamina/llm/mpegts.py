@@ -20,7 +20,7 @@ from lamina.llm.common import slices
 
 PACKET, ROOM, SYNC = 188, 184, 0x47
 PAT_PID, PMT_PID, ES_PID, NULL_PID = 0x0000, 0x1000, 0x0100, 0x1FFF
-PRIVATE_STREAM, PRIVATE_TYPE = 0xBD, 0x06
+PRIVATE_STREAM, PRIVATE_TYPE, STUFFING = 0xBD, 0x06, 0xFF
 TICKS = 3003  # of 90 kHz, between units
 UNIT, UNITS_PER_POINT = 16 * 576, 8  # bytes of a unit; units from one random-access point to the next
 
@@ -104,13 +104,17 @@ class Media:
     packets: int = 0
     programs: dict[int, int] = field(default_factory=dict)  # number -> PID of its map
     streams: dict[int, Stream] = field(default_factory=dict)  # PID -> stream
+    clocks: dict[int, list[int]] = field(default_factory=dict)  # PID -> program clock, of 27 MHz
     discontinuities: int = 0
-    bad_sections: int = 0
+    bad_sections: int = 0  # of a wrong CRC, or not whole
+    cut_units: int = 0  # that have no header, or end before the length that it says
 
 
 def read_stream(raw: bytes) -> Media:
-    """Parses a stream. A break in a continuity counter drops the unit it is in; a table whose CRC is
-    wrong is not used; a repeated packet counts once. Raises ValueError where packets lose their sync."""
+    """Parses a stream. A break in a continuity counter drops the unit it is in, and one that ends before
+    the length of its header is dropped as well; a table whose CRC is wrong is not used; a repeated
+    packet counts once. A packet may hold the end of a section and any number of further ones. Raises
+    ValueError where packets lose their sync."""
     if len(raw) % PACKET:
         raise ValueError("not whole packets")
     media, counters, last = Media(packets=len(raw) // PACKET), {}, {}
@@ -123,20 +127,29 @@ def read_stream(raw: bytes) -> Media:
         if (parts := open_units.pop(pid, None)) is None:
             return
         data, stream = b"".join(parts), media.streams[pid]
-        if len(data) < 9 or data[:3] != b"\x00\x00\x01":
-            media.discontinuities += 1
+        point, said = point_at.pop(pid, None), int.from_bytes(data[4:6], "big")
+        if len(data) < 9 or data[:3] != b"\x00\x00\x01" or len(data) < max(9 + data[8], 6 + said):
+            media.cut_units += 1
             return
-        said, begins = int.from_bytes(data[4:6], "big"), 9 + data[8]
+        begins = 9 + data[8]
         ticks = unstamp(data[9:14]) if data[7] & 0x80 else None
         stream.units.append(data[begins : 6 + said if said else len(data)])
         stream.stamps.append(ticks)
-        if pid in point_at:
-            stream.points.append((ticks, point_at.pop(pid)))
-
-    def table(pid: int, data: bytes) -> None:
-        length = int.from_bytes(data[1:3], "big") & 0xFFF
-        whole = data[: 3 + length]
-        if length < 9 or crc32_mpeg(whole[:-4]) != int.from_bytes(whole[-4:], "big"):
+        if point is not None:
+            stream.points.append((ticks, point))
+
+    def gather(pid: int, data: bytes) -> bytes:
+        """Reads whole sections off the front, and returns what begins the next one."""
+        while data and data[0] != STUFFING:
+            need = 3 + (int.from_bytes(data[1:3], "big") & 0xFFF)
+            if len(data) < 3 or len(data) < need:
+                return data
+            table(pid, data[:need])
+            data = data[need:]
+        return b""
+
+    def table(pid: int, whole: bytes) -> None:
+        if len(whole) < 12 or crc32_mpeg(whole[:-4]) != int.from_bytes(whole[-4:], "big"):
             media.bad_sections += 1
             return
         if pid == PAT_PID and whole[0] == 0:
@@ -164,6 +177,9 @@ def read_stream(raw: bytes) -> Media:
         if control & 2:
             if raw[begin]:
                 random_access, announced = bool(raw[begin + 1] & 0x40), bool(raw[begin + 1] & 0x80)
+                if raw[begin + 1] & 0x10 and raw[begin] >= 7:
+                    clock = int.from_bytes(raw[begin + 2 : begin + 8], "big")
+                    media.clocks.setdefault(pid, []).append((clock >> 15) * 300 + (clock & 0x1FF))
             begin += 1 + raw[begin]
         if not control & 1:
             continue
@@ -175,7 +191,7 @@ def read_stream(raw: bytes) -> Media:
             open_units.pop(pid, None)
             sections.pop(pid, None)
         counters[pid], last[pid] = counter, at
-        payload = raw[begin : at + PACKET]
+        payload = raw[min(begin, at + PACKET) : at + PACKET]
         if pid in media.streams:
             if second & 0x40:
                 close(pid)
@@ -184,13 +200,16 @@ def read_stream(raw: bytes) -> Media:
                     point_at[pid] = number
             elif pid in open_units:
                 open_units[pid].append(payload)
-        elif pid == PAT_PID or pid in maps:
-            data = payload[1 + payload[0] :] if second & 0x40 else sections.get(pid, b"") + payload
-            if len(data) >= 3 and len(data) >= 3 + (int.from_bytes(data[1:3], "big") & 0xFFF):
-                table(pid, data)
-                sections.pop(pid, None)
-            else:
-                sections[pid] = data
+        elif (pid == PAT_PID or pid in maps) and payload:
+            held = sections.pop(pid, b"")
+            if second & 0x40:
+                first = 1 + payload[0]
+                if held and gather(pid, held + payload[1:first]) or first > len(payload):
+                    media.bad_sections += 1
+                sections[pid] = gather(pid, payload[first:])
+            elif held:
+                sections[pid] = gather(pid, held + payload)
+    media.bad_sections += sum(map(bool, sections.values()))
     for pid in list(open_units):
         close(pid)
     return media
@@ -198,7 +217,7 @@ def read_stream(raw: bytes) -> Media:
 
 def feature(media: Media, stream: Stream) -> str:
     shown = [s for s in stream.stamps if s is not None]
-    return f"programs={len(media.programs)} streams={len(media.streams)} type={stream.kind} packets={media.packets} units={len(stream.units)} points={len(stream.points)} first={shown[0] if shown else ''} last={shown[-1] if shown else ''} breaks={media.discontinuities}"
+    return f"programs={len(media.programs)} streams={len(media.streams)} type={stream.kind} packets={media.packets} units={len(stream.units)} points={len(stream.points)} clocks={sum(map(len, media.clocks.values()))} first={shown[0] if shown else ''} last={shown[-1] if shown else ''} breaks={media.discontinuities}"
 
 
 def text_media(df: DataFrame, block: int = 576, tail: int = 32, id_column: str = "doc_id", text_column: str = "text", slice_bytes: int = 8 << 20) -> DataFrame:
@@ -225,7 +244,7 @@ def text_media(df: DataFrame, block: int = 576, tail: int = 32, id_column: str =
                     media = read_stream(stored)
                     (stream,) = media.streams.values()
                     read = b"".join(stream.units)
-                    if media.discontinuities or media.bad_sections:
+                    if media.discontinuities or media.bad_sections or media.cut_units:
                         raise ValueError("a stream was not read back whole")
                     rows.append((len(raw), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-tail:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(media, stream), [{"ticks": t, "packet": p} for t, p in stream.points]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True))], names)
