@@ -20,13 +20,15 @@ LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ǿ"
 WORD = rf" ?[{LATIN}]++"
 PIECE = re.compile(rf"{WORD}(?=[.,;:!?{WHITE}]|\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 PLAIN = re.compile(WORD)
-#: A place that no piece and no pre-token crosses.
-CUT = re.compile(r"(?<=[A-Za-z0-9]) ")
+#: A place that no pre-token crosses: before white space that follows something else, between a Latin
+#: letter and a digit, between an ideograph or kana and the punctuation after it.
+CUT = re.compile(rf"(?<=[^{WHITE}])(?=[{WHITE}])|(?<=[A-Za-z])(?=[0-9])|(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5])(?=[\u3001\u3002\uff0c\uff01\uff1f\uff1b\uff1a])")
 
 
 def segments(text: str, most: int = 1 << 20) -> Iterator[str]:
-    """The text in parts of about `most` characters whose pieces are the text's; so a text of any
-    length takes the memory of a part. A part is longer only where there is no place to cut."""
+    """The text in parts of about `most` characters whose pre-tokens are the text's; so a text of any
+    length takes the memory of a part. A part is longer only within a run of letters alone (or of
+    digits, or of signs), which is one pre-token however long it is."""
     start = 0
     while len(text) - start > most and (cut := CUT.search(text, start + most)):
         yield text[start : cut.start()]
@@ -36,15 +38,18 @@ def segments(text: str, most: int = 1 << 20) -> Iterator[str]:
 
 class PieceMemo(dict):
     """piece -> what `encode` makes of it, for the pieces met last: of two generations the older one
-    goes when the younger has `most` pieces. That bounds memory and changes no result."""
+    goes when the younger has `most` pieces, and pieces of over `long` characters are not kept. That
+    bounds memory and changes no result."""
 
-    def __init__(self, encode: Callable[[str], Any], most: int = 400_000):
+    def __init__(self, encode: Callable[[str], Any], most: int = 200_000, long: int = 200):
         super().__init__()
-        self.encode, self.most, self.older = encode, most, {}
+        self.encode, self.most, self.long, self.older = encode, most, long, {}
 
     def __missing__(self, piece: str) -> Any:
         if (value := self.older.get(piece)) is None:
             value = self.encode(piece)
+        if len(piece) > self.long:
+            return value
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()

@@ -6,7 +6,7 @@ Two deterministic transducers do what a byte-level BPE tokenizer does, without m
   from each of its 13 states to a state. All chunks of a batch are mapped at once, the maps are
   composed by a parallel prefix scan, and a second pass from the now known states emits the cuts.
   A text of any length is many chunks, so long texts cost no more per byte than short ones.
-* The *merge transducer* reads the bytes of a pre-token. Every transition is annotated with the
+* The *merge transducer* reads the bytes of a pre-token (a long one by chunks, whose maps are composed). Every transition is annotated with the
   tokens it emits: the change in the number of tokens of the prefix read so far (it may be
   negative, when a longer token replaces several). The sum along a path is the token count.
   It is determinised on demand, as the states of all possible texts are too many to list.
@@ -38,6 +38,7 @@ START, WORD, DIGITS, SIGNS, ONE_SPACE, ONE_BLANK, MANY_SPACE, MANY_BLANK, Q, Q_R
 STATES, SYMBOLS = 13, 12
 HERE, BACK = 1, 2  # a token begins at this character; at the one before it
 CHUNK = 128
+LONG, WARM = 16 * CHUNK, 48  # bytes of a pre-token that is walked by chunks; bytes that lead to a guess
 NO_TOKEN = -1
 
 
@@ -221,31 +222,95 @@ class MergeTransducer:
             self.keys[at], self.next[at], self.gain[at] = keys[own], to[own], gain[own]
             left = np.delete(left, first)
 
+    def _step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, tokens emitted) of each state on its byte."""
+        keys = state << 8 | byte
+        at = self._slots(keys)
+        missing = self.keys[at] != keys
+        if missing.any():
+            new = np.unique(keys[missing])
+            made = [self.follow(int(key) >> 8, int(key) & 255) for key in new]
+            self._add(new, np.array([x[0] for x in made], np.int32), np.array([x[1] for x in made], np.int16))
+            at = self._slots(keys)
+        return self.next[at].astype(np.int64), self.gain[at]
+
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of each data[starts[k]:ends[k]]: all walk together, longest first."""
+        """Tokens of each data[starts[k]:ends[k]]: all walk together, longest first; those that are many
+        chunks long are walked chunk by chunk."""
         if self.used > self.most:
             self.forget()
         lengths = ends - starts
-        order = np.argsort(-lengths, kind="stable")
+        out = np.zeros(len(lengths), np.int64)
+        long = lengths >= LONG
+        for k in np.flatnonzero(long).tolist():
+            out[k] = self.count_chunks(data[starts[k] : ends[k]])
+        own = np.flatnonzero(~long)
+        order = own[np.argsort(-lengths[own], kind="stable")]
         begin, descending = starts[order], lengths[order]
         state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         alive = len(order)
         for k in range(int(descending[0]) if len(order) else 0):
             alive = int(np.searchsorted(-descending[:alive], -k, side="left"))
-            keys = state[:alive] << 8 | data[begin[:alive] + k]
-            at = self._slots(keys)
-            missing = self.keys[at] != keys
-            if missing.any():
-                new = np.unique(keys[missing])
-                made = [self.follow(int(key) >> 8, int(key) & 255) for key in new]
-                self._add(new, np.array([x[0] for x in made], np.int32), np.array([x[1] for x in made], np.int16))
-                at = self._slots(keys)
-            state[:alive] = self.next[at]
-            total[:alive] += self.gain[at]
-        out = np.empty_like(total)
+            state[:alive], gain = self._step(state[:alive], data[begin[:alive] + k])
+            total[:alive] += gain
         out[order] = total
         return out
 
+    def walk(self, state: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state after, tokens emitted) of each chunk (a row of bytes) from its state."""
+        total = np.zeros(len(state), np.int64)
+        for column in chunks.T:
+            state, gain = self._step(state, column)
+            total += gain
+        return state, total
+
+    def count_chunks(self, text: np.ndarray, block: int = 2048) -> int:
+        """Tokens of one long pre-token, in blocks of chunks; what is known may be forgotten in between."""
+        state, total = 0, 0
+        n = len(text) // CHUNK
+        chunks = np.ascontiguousarray(text[: n * CHUNK]).reshape(n, CHUNK)
+        for at in range(0, n, block):
+            if self.used > self.most:
+                key = self.states[state]
+                self.forget()
+                state = self.number.setdefault(key, len(self.states))
+                if state == len(self.states):
+                    self.states.append(key)
+            state, gain = self._compose(state, chunks[at : at + block])
+            total += gain
+        return total + int(self.walk(np.array([state]), text[None, n * CHUNK :])[1][0])
+
+    def _compose(self, state: int, chunks: np.ndarray) -> tuple[int, int]:
+        """(state after, tokens emitted) of chunks end to end. A chunk is a map from states to states and
+        counts, of which only the pairs that occur are made. All chunks are mapped at once from the state
+        that the bytes before each lead to from the start (nearly always the right one, as states remember
+        little), then again from the states that those maps gave; composing the maps finds what is still
+        missing, which is walked. Chunks of equal bytes share a map, so a run that repeats costs a
+        look-up for each chunk."""
+        _, first, kind = np.unique(chunks.view(f"V{CHUNK}").ravel(), return_index=True, return_inverse=True)
+        known: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def learn(states: np.ndarray) -> None:
+            pairs = set(zip(kind.tolist(), states.tolist(), strict=True)) - known.keys()
+            if pairs:
+                kinds, from_ = (np.array(x, np.int64) for x in zip(*sorted(pairs), strict=True))
+                to, gain = self.walk(from_, chunks[first[kinds]])
+                known.update(zip(zip(kinds.tolist(), from_.tolist(), strict=True), zip(to.tolist(), gain.tolist(), strict=True), strict=True))
+
+        guess = np.full(len(chunks), state, np.int64)
+        guess[1:], _ = self.walk(np.zeros(len(chunks) - 1, np.int64), chunks[:-1, -WARM:])
+        for _ in range(2):
+            learn(guess)
+            guess[1:] = [known[pair][0] for pair in zip(kind[:-1].tolist(), guess[:-1].tolist(), strict=True)]
+        total = 0
+        for k in kind.tolist():
+            if (k, state) not in known:
+                to, gain = self.walk(np.array([state]), chunks[first[k] : first[k] + 1])
+                known[k, state] = int(to[0]), int(gain[0])
+            state, gain = known[k, state]
+            total += gain
+        return state, total
+
 
 class CompiledTokenizer:
     """A byte-level BPE tokenizer file compiled to the two transducers."""
