@@ -9,21 +9,31 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.sources.shared import materialised, shared_folder
+from lamina.sources.shared import discard, materialised, shared_folder, stored
 
-__all__ = ["flat_text", "materialised", "shared_folder", "slices", "table"]
+__all__ = ["discard", "flat_text", "materialised", "numbered_columns", "shared_folder", "slices", "stored", "table", "unused"]
 
 
-#: Bytes of files a core, below which a table in few files is dealt out anew.
-SMALL = 4 << 20
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as it is stored; it is split where it is read."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as it is stored. One that is small and in fewer files than there are cores is dealt out
-    to all cores; anything larger is split where it is read, without a shuffle."""
-    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < SMALL * cores and len(df.inputFiles()) < cores else df
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """df with its columns named column_0, column_1 and so on: no name can clash, or mean a field."""
+    return df.toDF(*(f"column_{k}" for k in range(len(df.columns))))
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:

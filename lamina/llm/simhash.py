@@ -14,7 +14,7 @@ pairs; the components of those links are the components of all pairs.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from lamina.llm.common import materialised, slices
 from lamina.llm.components import components
 
-BITS, BAND_BITS = 64, 48
+BITS = 64
 
 #: What rows share that meet in one trie.
-GROUP = ("mask", "value", "cell")
+GROUP = ("mask", "value")
 
 
 #: What words are parted by, and after how many characters of a text a new part begins.
@@ -46,15 +46,22 @@ def hashes_of(words: list[bytes], shingle_words: int) -> np.ndarray:
     return np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64)
 
 
-def shingle_hashes(text: str, shingle_words: int, part: int = PART) -> Iterator[np.ndarray]:
-    """The hashes of all shingles, repeats included, part by part; of the whole, if it has fewer
-    words; none without words. Words: runs of other than ASCII white space, A-Z in lower case."""
-    start, words, yielded = 0, [], False
+def word_parts(text: str, part: int = PART) -> Iterator[list[bytes]]:
+    """The words, part by part: runs of other than ASCII white space, with A-Z in lower case."""
+    start = 0
     while start < len(text):
         cut = BLANK.search(text, start + part) if len(text) - start > part else None
         stop = cut.start() if cut else len(text)
-        words += text[start:stop].encode().lower().split()
+        yield text[start:stop].encode().lower().split()
         start = stop
+
+
+def shingle_hashes(text: str, shingle_words: int, part: int = PART) -> Iterator[np.ndarray]:
+    """The hashes of all shingles, repeats included, part by part; of the whole, if it has fewer
+    words; none without words."""
+    words, yielded = [], False
+    for more in word_parts(text, part):
+        words += more
         if len(words) >= shingle_words:
             yield hashes_of(words, shingle_words)
             words, yielded = words[len(words) - shingle_words + 1 :], True
@@ -85,26 +92,6 @@ def fingerprint(text: str, shingle_words: int = 3) -> int:
     return majority(counts, total)
 
 
-def distinct_shingles(text: str, shingle_words: int) -> np.ndarray:
-    """The hashes of the shingles as a set: sorted, none twice."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle_words)]))
-
-
-def bits_of(h: np.ndarray, n: int) -> list[int]:
-    """n fingerprints of a set of hashes, as if of n hash functions: each mixes the hashes another way."""
-    found = []
-    for k in range(n):
-        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << BITS) - 1)) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        found.append(majority(ones(x * np.uint64(0xD6E8FEB86659FD93)), len(h)))
-    return found
-
-
-def words_of_bits(text: str, shingle_words: int, n: int) -> list[int]:
-    """n fingerprints over distinct shingles, so that a run of one word weighs no more than once."""
-    return bits_of(distinct_shingles(text, shingle_words), n)
-
-
 def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 3, slice_bytes: int = 4 << 20) -> DataFrame:
     """(id, text_hash, fp) of every row; text_hash tells rows of one id apart."""
     kind = df.schema[id_column].dataType.simpleString()
@@ -128,51 +115,75 @@ def signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
-def trie_links(groups: np.ndarray, fps: np.ndarray, budget: int, alike: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, most_pairs: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(groups: np.ndarray, fps: np.ndarray, budget: int, alike: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, labels: np.ndarray | None = None, most_pairs: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Links (row, representative) within each group; groups and fps as sorted by (group, fp). alike
-    says of rows within the budget which are linked; without it, all are.
+    says of rows within the budget which are linked; without it, all are. Rows of a group with equal
+    labels count as linked from the start.
 
     A node is a range of the sorted fingerprints that share their leading bits; all groups' tries
-    descend at once, as arrays of node pairs. A pair of small nodes is compared leaf by leaf.
+    descend at once, as arrays of node pairs. A pair of small nodes is compared leaf by leaf. Pairs of
+    nodes whose rows are all connected already are dropped, so a dense group costs few comparisons;
+    and neither node pairs nor compared rows are ever held in larger numbers than about most_pairs.
     """
     n = len(fps)
-    root = np.arange(n)
-    edge = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-    low, high = edge, np.append(edge[1:], n)
+    root = np.arange(n, dtype=np.int32)
+    if labels is not None:
+        _, first, of = np.unique(np.stack([groups, labels]), axis=1, return_index=True, return_inverse=True)
+        join(root, root.copy(), first.astype(np.int32)[of.ravel()])
+    before, change = root.copy(), changes_in(root)
+
+    def open_pairs(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+        whole = (change[a1 - 1] == change[a0]) & (change[b1 - 1] == change[b0])
+        return ~(whole & (root[a0] == root[b0]))
+
+    def compare(ranges: Sequence[np.ndarray]) -> None:
+        nonlocal change
+        ends = np.cumsum((ranges[1] - ranges[0]).astype(np.int64) * (ranges[3] - ranges[2]))
+        start = 0
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most_pairs, side="right")))
+            own = [x[start:stop] for x in ranges]
+            left = open_pairs(*own)
+            start = stop
+            if not left.any():
+                continue
+            a, b = products(*(x[left] for x in own))
+            near = np.bitwise_count(fps[a] ^ fps[b]) <= budget
+            near &= root[a] != root[b]
+            a, b = a[near], b[near]
+            if alike is not None and len(a):
+                good = alike(a, b)
+                a, b = a[good], b[good]
+            if len(a):
+                join(root, a, b)
+                change = changes_in(root)
+
+    edge = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])).astype(np.int32)
+    low, high = edge, np.append(edge[1:], np.int32(n))
     wide = high - low > 1
     low, high = low[wide], high[wide]
     work = [(BITS - 1, low, high, low, high, np.zeros(len(low), np.int8))]
     ones: dict[int, np.ndarray] = {}
     while work:
-        bit, a0, a1, b0, b1, errors = work.pop()
+        bit, *columns = work.pop()
+        left = open_pairs(*columns[:4])
+        a0, a1, b0, b1, errors = (x[left] for x in columns)
         if len(a0) > most_pairs:  # depth first over slices: the frontier stays small
             half = len(a0) // 2
             work += [(bit, *(x[half:] for x in (a0, a1, b0, b1, errors))), (bit, *(x[:half] for x in (a0, a1, b0, b1, errors)))]
             continue
-        few = (a1 - a0) * (b1 - b0) <= 32
-        if bit < 0:  # leaves: equal fingerprints, of which there may be many
-            sizes = (a1 - a0) * (b1 - b0)
-            if len(a0) > 1 and sizes.sum() > most_pairs:
-                half = len(a0) // 2
-                work += [(bit, *(x[half:] for x in (a0, a1, b0, b1, errors))), (bit, *(x[:half] for x in (a0, a1, b0, b1, errors)))]
-                continue
-            if len(a0) == 1 and sizes[0] > most_pairs:
-                work += [(bit, *(np.array([x]) for x in (*pair, errors[0]))) for pair in halves(int(a0[0]), int(a1[0]), int(b0[0]), int(b1[0]))]
-                continue
-            few[:] = True
-        if few.any():
-            left, right = products(a0[few], a1[few], b0[few], b1[few])
-            near = np.bitwise_count(fps[left] ^ fps[right]) <= budget
-            left, right = left[near], right[near]
-            if alike is not None:
-                good = alike(left, right)
-                left, right = left[good], right[good]
-            join(root, left, right)
+        sizes = (a1 - a0).astype(np.int64) * (b1 - b0)
+        few = sizes <= (32 if bit >= 0 else most_pairs)
+        compare([x[few] for x in (a0, a1, b0, b1)])
         if few.all():
             continue
         a0, a1, b0, b1, errors = (x[~few] for x in (a0, a1, b0, b1, errors))
+        if bit < 0:  # leaves of many equal fingerprints, in parts
+            for pair in zip(a0.tolist(), a1.tolist(), b0.tolist(), b1.tolist(), strict=True):
+                work += [(bit, *(np.array([x], np.int32) for x in part), np.zeros(1, np.int8)) for part in reversed(halves(*pair))]
+            continue
         if bit not in ones:
-            ones[bit] = np.concatenate([[0], np.cumsum((fps >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
+            ones[bit] = np.concatenate([[0], np.cumsum((fps >> np.uint64(bit)) & np.uint64(1))]).astype(np.int32)
         count = ones[bit]
         am, bm = a1 - (count[a1] - count[a0]), b1 - (count[b1] - count[b0])
         same = a0 == b0  # a node with itself: one of its two mixed pairs is enough
@@ -185,10 +196,15 @@ def trie_links(groups: np.ndarray, fps: np.ndarray, budget: int, alike: Callable
                 ok &= also
             kept.append([x[ok] for x in (x0, x1, y0, y1, e)])
         work.append((bit - 1, *(np.concatenate(x) for x in zip(*kept, strict=True))))
-    linked = np.flatnonzero(root != np.arange(n))
+    linked = np.flatnonzero(root != before)
     return linked, root[linked]
 
 
+def changes_in(root: np.ndarray) -> np.ndarray:
+    """How often the value has changed up to each place: equal at both ends of a range of one value."""
+    return np.concatenate([[0], np.cumsum(root[1:] != root[:-1])]).astype(np.int32) if len(root) else root
+
+
 def halves(a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int, int, int]]:
     """Pairs of smaller ranges with the same pairs of rows."""
     if a0 == b0:
@@ -204,8 +220,8 @@ def halves(a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int, int, int]
 def products(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every (i, j) of a pair of ranges, once for a range with itself."""
     sizes = (a1 - a0) * (b1 - b0)
-    pair = np.repeat(np.arange(len(sizes)), sizes)
-    k = np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    pair = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    k = np.arange(len(pair), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
     width = (b1 - b0)[pair]
     left, right = a0[pair] + k // width, b0[pair] + k % width
     keep = (a0 != b0)[pair] | (left < right)
@@ -225,105 +241,82 @@ def join(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def links(rows: DataFrame, budget: int = 3, most: int = 4096, fixed: int = 0, check_bits: int = 0, buffer_rows: int = 1 << 16) -> DataFrame:
+def links(rows: DataFrame, budget: int = 3, most: int = 4096, buffer_rows: int = 1 << 15) -> DataFrame:
     """(node, other): enough links between fingerprints within budget to connect all that are.
 
-    rows: (fp), each once, which are the nodes themselves, or (fp, node, check_1, check_2): then links
-    are between nodes whose checks also differ in at most check_bits bits, and an fp may repeat. Rows
-    meet only where all bits of the mask `fixed` agree. A group too large that its bits can't split, as
-    most of its rows repeat an fp, is dealt to pairs of blocks of rows: each two of them still meet.
+    rows: (fp), each once. A group of more than `most` has its rest of the bits split into blocks in
+    turn: distinct fingerprints that agree in all but b bits are at most 2 ** b, so splitting ends.
     """
     blocks = budget + 1
     if most < 1 << blocks:
         raise ValueError("groups must be allowed as many members as blocks can tell apart")
-    extra = [c for c in rows.columns if c != "fp"]
-
-    def changes(t: pa.Table) -> np.ndarray:
-        keys = [t[c].to_numpy() for c in GROUP]
-        return np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        held = 0
-
-        def found(t: pa.Table) -> pa.RecordBatch:
-            fp = t["fp"].to_numpy().view(np.uint64)
-            new = np.concatenate([[True], changes(t)])
-            group = np.cumsum(new)
+        for table, group in whole_groups(batches, GROUP, buffer_rows):
+            fp = table["fp"].to_numpy().view(np.uint64)
             order = np.lexsort((fp, group))
-            node = (t["node"].to_numpy() if extra else fp.view(np.int64))[order]
-            alike = None
-            if extra:
-                checks = [t[c].to_numpy().view(np.uint64)[order] for c in ("check_1", "check_2")]
-                alike = lambda a, b: sum(np.bitwise_count(c[a] ^ c[b]).astype(np.int16) for c in checks) <= check_bits
-            a, b = trie_links(group[order], fp[order], budget, alike)
-            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["node", "other"])
-
-        for batch in batches:
-            waiting.append(batch)
-            held += batch.num_rows
-            if held < buffer_rows:
-                continue
-            table = pa.Table.from_batches(waiting).combine_chunks()
-            starts = np.flatnonzero(changes(table))
-            cut = int(starts[-1]) + 1 if len(starts) else 0  # the last group may go on
-            if cut:
-                yield found(table.slice(0, cut))
-            waiting, held = table.slice(cut).to_batches(), table.num_rows - cut
-        if held:
-            yield found(pa.Table.from_batches(waiting).combine_chunks())
+            node = fp[order].view(np.int64)
+            a, b = trie_links(group[order], fp[order], budget)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["node", "other"])
 
     def joined(part: DataFrame) -> DataFrame:
-        celled = part if "cell" in part.columns else part.withColumn("cell", F.lit(0).cast("long"))
-        return celled.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "node long, other long")
+        return part.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "node long, other long")
 
-    masks = {fixed: parts([b for b in range(BITS) if not fixed >> b & 1], blocks)}
-    part = keyed(rows.withColumn("mask", F.lit(signed(fixed)).cast("long")), masks, extra)
+    masks = {0: parts(list(range(BITS)), blocks)}
+    part = keyed(rows.select(F.lit(0).cast("long").alias("mask"), "fp"), masks)
     out: DataFrame | None = None
     while True:
         large = materialised(part.groupBy("mask", "value").count().where(F.col("count") > most))
-        free = {m | p: [b for b in range(BITS) if not (m | p) >> b & 1] for m, ps in masks.items() for p in ps}
         if not large.head(1):
             ready = joined(part)
             return ready if out is None else out.unionAll(ready)
         ready = joined(part.join(large, ["mask", "value"], "left_anti"))
         out = ready if out is None else out.unionAll(ready)
-        if extra:  # an fp that repeats would go to every part of every split
-            spent = [signed(m) for m, bits in free.items() if 1 << len(bits) <= most]
-            kinds = part.join(large, ["mask", "value"]).groupBy("mask", "value", "count").agg(F.count_distinct("fp").alias("kinds"))
-            dull = F.col("mask").isin(spent) | (2 * F.col("kinds") <= F.col("count"))
-            sized = materialised(kinds.withColumn("dull", dull))
-            out = out.unionAll(joined(cells(part.join(sized.where("dull").select("mask", "value", "count"), ["mask", "value"]), max(1, most // 4))))
-            large = sized.where("not dull")
-            if not large.head(1):
-                return out
         # A group with b bits free has at most 2 ** b members; one that is too large has a bit for each block.
+        free = {m | p: [b for b in range(BITS) if not (m | p) >> b & 1] for m, ps in masks.items() for p in ps}
         masks = {m: parts(bits, blocks) for m, bits in free.items() if 1 << len(bits) > most}
-        split = part.join(large, ["mask", "value"], "left_semi").select("mask", "fp", *extra).distinct()
-        part = keyed(materialised(split), masks, extra)
+        split = part.join(large, ["mask", "value"], "left_semi").select("mask", "fp").distinct()
+        part = keyed(materialised(split), masks)
 
 
-def cells(rows: DataFrame, most: int) -> DataFrame:
-    """rows (mask, value, count, node, ...) of groups of count rows each, with a cell added: blocks of
-    about `most` rows, and a cell for each pair of blocks."""
-    n = F.ceil(F.col("count") / most).cast("long")
-    dealt = rows.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("node", "fp"), "n")).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    return dealt.withColumn("cell", F.least("block", "met") * F.col("n") + F.greatest("block", "met")).drop("n", "block", "met", "count")
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], most_rows: int, most_bytes: int = 32 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and the number of each row's group, of batches sorted by the keys: as
+    many groups as make most_rows rows or most_bytes, or one group that is larger."""
 
+    def starts(t: pa.Table) -> np.ndarray:
+        columns = [t[c].to_numpy() for c in keys]
+        return np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in columns])])
 
-def keyed(rows: DataFrame, masks: dict[int, list[int]], extra: list[str]) -> DataFrame:
-    """(mask, value, fp, *extra): each row once for each larger mask that its mask is split into."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, most_rows):
+            waiting.append(batch.slice(at, most_rows))
+            if sum(b.num_rows for b in waiting) < most_rows and sum(b.nbytes for b in waiting) < most_bytes:
+                continue
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            new = starts(table)
+            if cut := int(np.flatnonzero(new)[-1]):  # the last group may go on
+                yield table.slice(0, cut), np.cumsum(new[:cut])
+                table = table.slice(cut)
+            waiting = table.to_batches()
+    if waiting and sum(b.num_rows for b in waiting):
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        yield table, np.cumsum(starts(table))
+
+
+def keyed(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
+    """(mask, value, fp): each row once for each larger mask that its mask is split into."""
     larger = {signed(m): np.array([m | p for p in ps], np.uint64).view(np.int64) for m, ps in masks.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            old, *columns = (c.to_numpy() for c in batch.columns)
+            old, fp = (c.to_numpy() for c in batch.columns)
             for m in np.unique(old):
-                own = [np.repeat(c[old == m], len(larger[int(m)])) for c in columns]
+                own = np.repeat(fp[old == m], len(larger[int(m)]))
                 mask = np.tile(larger[int(m)], int((old == m).sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mask, own[0] & mask, *own)], ["mask", "value", "fp", *extra])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mask, own & mask, own)], ["mask", "value", "fp"])
 
-    return rows.select("mask", "fp", *extra).mapInArrow(run, "mask long, value long, fp long" + "".join(f", {c} long" for c in extra))
+    return rows.select("mask", "fp").mapInArrow(run, "mask long, value long, fp long")
 
 
 def first_row(id_column: str) -> Column:
@@ -357,151 +350,3 @@ def near_duplicates(df: DataFrame, budget: int = 3, shingle_words: int = 3, id_c
     marked = materialised(fingerprints(df, id_column, text_column, shingle_words))
     found = groups(marked, budget, id_column).select(F.col("fp").alias("of_fp"), "component_id")
     return marked.join(found, marked["fp"] == found["of_fp"]).select(id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def bands(df: DataFrame, n_bands: int, id_column: str = "doc_id", text_column: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
-    """(id, text_hash, fp, bands, check_1, check_2, size): n_bands fingerprints of 48 bits over three-word
-    shingles, and 128 bits over five-word shingles; fp is a hash of the set of five-word shingles (which
-    fixes all the others), size the number of these."""
-    import xxhash
-
-    kind = df.schema[id_column].dataType.simpleString()
-    low = (1 << BAND_BITS) - 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, text_column, slice_bytes):
-                found, checks, fps, sizes = [], [], [], []
-                for text in batch.column(2):
-                    t = text.as_py() or ""
-                    band = [k << BAND_BITS | x & low for k, x in enumerate(words_of_bits(t, 3, n_bands))]
-                    five = distinct_shingles(t, 5)
-                    found += band
-                    checks.append(bits_of(five, 2))
-                    fps.append(xxhash.xxh3_64_intdigest(five.tobytes()))
-                    sizes.append(len(five))
-                one, two = np.array(checks, np.uint64).reshape(-1, 2).T
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * n_bands), pa.array(found, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), lists, *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (one, two)), pa.array(sizes, pa.int64())], ["id", "text_hash", "fp", "bands", "check_1", "check_2", "size"])
-
-    rows = df.select(id_column, F.xxhash64(text_column).alias("text_hash"), text_column)
-    return rows.mapInArrow(run, f"id {kind}, text_hash long, fp long, bands array<bigint>, check_1 long, check_2 long, size long")
-
-
-def similar_groups(marked: DataFrame, budget: int, check_bits: int) -> DataFrame:
-    """(fp, component_id, keeper) of texts of bands(): linked are texts of which a band differs in at
-    most budget bits and the check in at most check_bits."""
-    distinct = distinct_texts(marked)
-    return keepers(distinct.select("fp", "first"), similar_links(distinct, budget, check_bits))
-
-
-def distinct_texts(marked: DataFrame) -> DataFrame:
-    rest = [c for c in marked.columns if c not in ("id", "text_hash", "fp")]
-    return materialised(marked.groupBy("fp").agg(F.min(first_row("id")).alias("first"), *(F.first(c).alias(c) for c in rest)))
-
-
-def similar_links(distinct: DataFrame, budget: int, check_bits: int) -> DataFrame:
-    """(node, other) of distinct_texts(): enough links to connect all that similar_groups() links."""
-    banded = distinct.select(F.explode("bands").alias("band"), F.col("fp").alias("node"), "check_1", "check_2")
-    # Only rows of equal band and check are one; any other of the band could be alike to what this one isn't.
-    key = [F.col("band").alias("fp"), "check_1", "check_2"]
-    vertices = materialised(banded.groupBy(*key).agg(F.min("node").alias("node")).select("fp", "node", "check_1", "check_2"))
-    of = F.struct("fp", "check_1", "check_2")
-    stood = vertices.select(of.alias("of"), F.col("node").alias("other"))
-    equal = banded.select(F.struct(*key).alias("at"), "node").join(stood, F.col("at") == F.col("of")).where("node <> other").select("node", "other")
-    fixed = (1 << BITS) - (1 << BAND_BITS)  # the number of the band stands above its bits
-    near = links(vertices, budget, fixed=fixed, check_bits=check_bits)
-    return equal.unionAll(near)
-
-
-def jaccard_links(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links (index, smaller index) that connect all pairs of these sets with a Jaccard of `least` or more."""
-    root = np.arange(len(sets))
-    sizes = np.array([len(x) for x in sets])
-    starts = np.cumsum(sizes) - sizes
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    full = sizes > 0  # reduceat has no empty ranges
-    has = np.zeros(len(flat) + 1, bool)
-    for i in range(len(sets) - 1):
-        apart = (root != root[i]) & (np.arange(len(sets)) > i)
-        apart &= np.minimum(sizes, sizes[i]) >= least * np.maximum(sizes, sizes[i]) - 1  # the set is no larger than the union
-        if not (apart & full).any() or not sizes[i]:
-            continue
-        own = flat[starts[i] : starts[i] + sizes[i]]
-        has[own] = True
-        common = np.zeros(len(sets), np.int64)
-        common[full] = np.add.reduceat(has[flat], starts[full], dtype=np.int64)
-        has[own] = False
-        near = np.flatnonzero(apart & (common / np.maximum(sizes + sizes[i] - common, 1) >= least))
-        join(root, np.full(len(near), i), near)
-    linked = np.flatnonzero(root != np.arange(len(sets)))
-    return linked, root[linked]
-
-
-def texts_of(df: DataFrame, members: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(*members, text) of members (id, text_hash, ...). Other rows are left out before the shuffle, all
-    but a few: by a bitmap of the members' hashes, of 8 MB at most however many they are."""
-    of = F.xxhash64("id", "text_hash")
-    bits = 1 << min(26, max(16, (16 * members.count()).bit_length()))
-    place = members.select(F.pmod(of, F.lit(bits).cast("long")).alias("b"))
-    held = place.groupBy(F.shiftright("b", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 AS int)))").alias("word")).toArrow()
-    words = np.zeros(bits // 64, np.int64)
-    words[held["at"].to_numpy()] = held["word"].to_numpy()
-    sent = df.sparkSession.sparkContext.broadcast(words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(3).to_numpy()
-            yield batch.filter(pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1))
-
-    rows = df.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
-    rows = rows.withColumn("b", F.pmod(of, F.lit(bits).cast("long")))
-    found = rows.mapInArrow(run, rows.schema).select(F.col("id").alias("row_id"), F.col("text_hash").alias("row_hash"), "text")
-    return found.join(members, found["row_id"].eqNullSafe(members["id"]) & (found["row_hash"] == members["text_hash"])).drop("row_id", "row_hash")
-
-
-def exact_links(df: DataFrame, distinct: DataFrame, candidates: DataFrame, least: float, id_column: str, text_column: str, most: int = 64, most_shingles: int = 1 << 20) -> DataFrame:
-    """(node, other): all pairs of a component of candidates are compared by the sets of their five-word
-    shingles; linked are those with a Jaccard of `least` or more.
-
-    A large component is dealt to blocks, and a cell for each pair of blocks holds at most about
-    2 * most texts; the links of a cell connect what it found, so texts already connected are not compared again.
-    """
-    roots = materialised(components(candidates))
-    labels = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
-    members = materialised(labels.join(distinct, labels["node"] == distinct["fp"]).select("node", F.col("root").alias("label"), "size", "first.id", "first.text_hash"))
-    blocks = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("size") / most_shingles)).cast("long")
-    sized = materialised(members.groupBy(F.col("label").alias("of_label")).agg(blocks.alias("n")))
-    dealt = materialised(members.join(sized, members["label"] == sized["of_label"]).drop("of_label", "size"))
-    texts = texts_of(df, dealt, id_column, text_column).withColumn("block", F.pmod(F.xxhash64("node"), "n"))
-    met = texts.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    celled = met.select("label", F.least("block", "met").alias("low"), F.greatest("block", "met").alias("high"), "node", "text")
-
-    def run(table: pa.Table) -> pa.Table:
-        node, first = np.unique(table["node"].to_numpy(), return_index=True)
-        sets = [distinct_shingles(table["text"][int(k)].as_py() or "", 5) for k in first]
-        a, b = jaccard_links(sets, least)
-        return pa.table({"node": node[a], "other": node[b]})
-
-    return celled.groupBy("label", "low", "high").applyInArrow(run, "node long, other long")
-
-
-def keep_first(df: DataFrame, n_bands: int = 10, budget: int = 3, check_bits: int = 21, id_column: str = "doc_id", text_column: str = "text", least: float | None = None) -> DataFrame:
-    """The rows of df, one of each group of near copies: that of the smallest id (ids that are null come
-    last, equal ones go by their fingerprints and texts). Rows that repeat are one. Columns stay.
-
-    One fingerprint within 3 of 64 bits would miss most texts of which 0.8 of the five-word shingles are
-    shared; so there are n_bands of 48 bits, each joined by its own tries, and a check of 128 bits over
-    five-word shingles. At a similarity of s, a bit differs with probability acos(2s / (1 + s)) / pi:
-    0.15 of the check's bits at 0.8. With `least`, these bits only propose, and texts are near copies if
-    the Jaccard of their sets of five-word shingles is `least` or more; without, the bits decide.
-    """
-    marked = materialised(bands(df, n_bands, id_column, text_column))
-    distinct = distinct_texts(marked)
-    links_of = similar_links(distinct, budget, check_bits)
-    if least is not None:
-        links_of = materialised(exact_links(df, distinct, links_of, least, id_column, text_column))
-    found = keepers(distinct.select("fp", "first"), links_of).select("keeper.id", "keeper.text_hash").distinct().select(F.col("id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
-    hashed = df.withColumn("_text_hash", F.xxhash64(text_column))
-    kept = hashed.join(found, hashed[id_column].eqNullSafe(found["_kept_id"]) & (hashed["_text_hash"] == found["_kept_hash"]), "left_semi")
-    return kept.dropDuplicates([id_column, "_text_hash"]).drop("_text_hash")
