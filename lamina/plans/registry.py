@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -225,6 +225,44 @@ def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.query().groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).withColumn("merged", F.lit(merged))
 
 
+def store_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of cold files that are capped, compressed and sorted as the settings say."""
+    cap = 100
+    store, _ = _of_events(spark, sf_dir, 2, cold_tier={"max_records_per_file": cap, "compression": "gzip", "sort_columns": ["user_id"]}, warm_tier={"enabled": False})
+    store.migrate("hot")
+    store.migrate("hot")
+    rows = store.scan().withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
+    before = F.lag("user_id").over(Window.partitionBy("file").orderBy("at"))
+    files = rows.withColumn("falls", before > F.col("user_id")).groupBy("file").agg(F.count("*").alias("rows"), F.count_if("falls").alias("falls"))
+    return files.agg(
+        F.sum("rows").alias("n"), (F.max("rows") <= cap).alias("capped"), F.every(F.col("file").endswith(".gz.parquet")).alias("compressed"), (F.sum("falls") == 0).alias("sorted")
+    )
+
+
+def store_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, files and shares of capacity of each tier that holds anything, beside its rows."""
+    store, _ = _moved_store(spark, sf_dir)
+    found = store.stats(files=True)
+    shares = {"hot": store.config.hot_tier.max_records, "warm": store.config.warm_tier.max_records}
+    rows = []
+    for tier in ("hot", "warm", "cold"):
+        own = found[tier]
+        share = own["capacity_pct"] is None if tier == "cold" else abs(own["capacity_pct"] - 100 * own["total_records"] / shares[tier]) < 1e-9
+        rows.append((own["total_records"], own["files"] >= own["entries"] > 0 and own["bytes"] > own["total_records"], share))
+    told = spark.createDataFrame(rows, "n long, used boolean, share boolean")
+    return told.agg(F.sum("n").alias("n"), F.every("used").alias("used"), F.every("share").alias("share"))
+
+
+def store_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of times from a tier that is kept in memory, and the rest from files."""
+    from lamina.sources.shared import materialised
+
+    store, _ = _moved_store(spark, sf_dir)
+    with store:
+        store.pin("warm")
+        return materialised(store.query({"ts": {">=": JAN[10], "<": JAN[20]}}))
+
+
 def store_keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest two of four batches."""
     store, _ = _of_events(spark, sf_dir, 0, hot_tier={"merge_rows": 0})
@@ -432,6 +470,9 @@ REGISTERED: dict[str, tuple[Query, str]] = {
     "store_compacted": (store_compacted, "SELECT event_type, count(*) AS n, min(event_id) AS first_id, true AS merged FROM events GROUP BY event_type"),
     "store_keep_latest": (store_keep_latest, f"{ALL} WHERE event_id % 4 >= 2"),
     "store_batches": (store_batches, "SELECT CAST(ceil(count(*) / 8192.0) AS BIGINT) AS n_batches, count(*) AS n, true AS ordered FROM events WHERE event_type = 'view'"),
+    "store_files": (store_files, "SELECT CAST(count(*) AS BIGINT) AS n, true AS capped, true AS compressed, true AS sorted FROM events"),
+    "store_usage": (store_usage, "SELECT CAST(count(*) AS BIGINT) AS n, true AS used, true AS share FROM events"),
+    "store_pinned": (store_pinned, f"{ALL} WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'"),
     "store_in_another_zone": (
         store_in_another_zone,
         "SELECT event_id, epoch_us(ts) AS at FROM events WHERE ts >= TIMESTAMP '2024-01-10 01:00:00' AND ts < TIMESTAMP '2024-01-20 20:00:00'",
