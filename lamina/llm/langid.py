@@ -270,131 +270,6 @@ def annotate(df: DataFrame, model: Model, text_column: str = "text", names: tupl
     return plain.mapInArrow(run, schema).toDF(*df.columns, *names)
 
 
-def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Language and calibrated probability of each text; texts without a letter get und and 0."""
-        n = len(offsets) - 1
-        found, starts, lettered = features(data, offsets, self.bits)
-        if not self.languages or not n:
-            return [UNDETERMINED] * n, np.zeros(n)
-        logits = np.zeros((n, len(self.languages)))
-        for row in found:
-            logits += np.add.reduceat(self.table[row], starts[:-1], axis=0, dtype=np.float64)
-        logits = logits / (len(found) * np.diff(starts))[:, None] + self.bias
-        p = softmax(logits / self.temperature)
-        best = p.argmax(axis=1)
-        names = [self.languages[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
-        return names, np.where(lettered, p[np.arange(n), best], 0.0)
-
-
-def held_out(id_column: str, settings: Settings):
-    return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(settings.held_out_modulus)) == settings.held_out_remainder, F.lit(False))
-
-
-def learning_rows(df: DataFrame, settings: Settings, id_column: str, text_column: str, lang_column: str) -> DataFrame:
-    """(id, text, lang) of rows with an id that is not held out, a text and a language."""
-    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"), held_out(id_column, settings).alias("out"))
-    return rows.where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND NOT out").drop("out")
-
-
-def document_frequencies(rows: DataFrame, bits: int, slice_bytes: int) -> tuple[int, np.ndarray]:
-    """(documents, documents that hold each feature), over all rows. Each task sends one count for
-    each feature it met; the driver gets 2 ** bits sums, whatever the number of documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = np.zeros((1 << bits) + 1, np.int64), np.zeros(1 << bits, np.uint8)
-        for whole in batches:
-            for batch in slices(whole, "text", slice_bytes):
-                found, starts, _ = features(*flat_text(batch.column(0)), bits)
-                total[-1] += batch.num_rows
-                for a, b in zip(starts[:-1], starts[1:], strict=True):
-                    own = found[:, a:b].ravel()
-                    if len(own) < 1 << bits >> 4:
-                        total[np.unique(own)] += 1
-                    else:
-                        held[:] = 0
-                        held[own] = 1
-                        total[:-1] += held
-        met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], ["feature", "documents"])
-
-    sums = rows.select("text").mapInArrow(run, "feature int, documents long").groupBy("feature").agg(F.sum("documents").alias("documents")).toArrow()
-    out = np.zeros((1 << bits) + 1, np.int64)
-    out[sums["feature"].to_numpy()] = sums["documents"].to_numpy()
-    return int(out[-1]), out[:-1]
-
-
-def samples(rows: DataFrame, settings: Settings, languages: dict[str, int], slice_bytes: int) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
-    """(language, draw, features, shares) of a bounded sample: as many rows of each language as the
-    bounds allow, drawn by a hash of the row. languages: with their rows."""
-    each = max(1, (settings.fit_rows + settings.calibration_rows) // len(languages))
-    draw = F.xxhash64("id", "text")
-    # Hashes below a language's threshold hold a little more than its rows of the sample, however many
-    # rows it has; only those are ranked.
-    share = {lang: min(1.0, (1.5 * each + 50) / n) for lang, n in languages.items()}
-    threshold = F.create_map(*(F.lit(x) for lang, s in share.items() for x in (lang, min((1 << 63) - 1, int(s * (1 << 64)) - (1 << 63)))))
-    low = rows.select("id", "lang", draw.alias("draw")).where(F.col("draw") <= threshold[F.col("lang")])
-    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))).where(F.col("rank") <= each)
-    drawn = F.broadcast(ranked.select(F.col("id").alias("drawn"), "draw"))  # at most the two bounds together
-    bits, most = settings.bits, settings.row_features
-    chosen = rows.join(drawn, (rows["id"] == drawn["drawn"]) & (draw == drawn["draw"])).select("text", "lang", drawn["draw"])
-    floats, ints = pa.list_(pa.float32()), pa.list_(pa.int32())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", slice_bytes):
-                found, starts, _ = features(*flat_text(batch.column(0)), bits)
-                own, shares = zip(*sparse_rows(found, starts, most), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(own, ints), pa.array(shares, floats)], ["lang", "draw", "own", "shares"])
-
-    got = chosen.mapInArrow(run, "lang string, draw long, own array<int>, shares array<float>").toArrow()
-    rows_ = [(lang.as_py(), draw_.as_py(), own.values.to_numpy(), shares.values.to_numpy()) for lang, draw_, own, shares in zip(*(got[c] for c in got.column_names), strict=True)]
-    return sorted(rows_, key=lambda r: (r[1], r[0]))
-
-
-def fit(df: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", slice_bytes: int = 1 << 18) -> Model:
-    """Learns from the rows that are not held out. Without any, a model that knows no language."""
-    rows = learning_rows(df, settings, id_column, text_column, lang_column)
-    rows_of = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(settings.most_languages + 1).collect()}
-    if len(rows_of) > settings.most_languages:
-        raise ValueError(f"there are more than {settings.most_languages} languages; weights of each are held on the driver")
-    languages = sorted(rows_of)
-    if not languages:
-        return Model((), np.zeros((1 << settings.bits, 0), np.float32), np.zeros(0), 1.0, settings.bits)
-    documents, frequency = document_frequencies(rows, settings.bits, slice_bytes)
-    idf = np.log((1 + documents) / (1 + frequency)) + 1
-    drawn = samples(rows, settings, rows_of, slice_bytes)
-    labels = np.array([languages.index(r[0]) for r in drawn])
-    share = settings.calibration_rows / (settings.fit_rows + settings.calibration_rows)
-    fitted = np.floor((np.arange(len(drawn)) + 1) * share) == np.floor(np.arange(len(drawn)) * share)
-    learner = Ftrl((1 << settings.bits) + 1, len(languages), settings)
-    norm = [float(np.sqrt(np.square(s * idf[o]).sum())) for _, _, o, s in drawn]
-    scale = 1 / (np.median(norm) or 1.0)  # one factor for all texts: typical rows have length one
-    inputs = [(np.append(o, 1 << settings.bits), np.append(s * idf[o] * scale, 1.0)) for _, _, o, s in drawn]
-    order = np.flatnonzero(fitted)
-    for epoch in range(settings.epochs):
-        for k in np.random.default_rng(epoch).permutation(order):
-            learner.learn(*inputs[k], labels[k])
-    weights = learner.weights(slice(None))
-    rest = np.flatnonzero(~fitted)
-    logits = np.array([values @ weights[own] for own, values in (inputs[k] for k in rest)]).reshape(len(rest), len(languages))
-    return Model(tuple(languages), (weights[:-1] * (idf * scale)[:, None]).astype(np.float32), weights[-1], temperature(logits, labels[rest]), settings.bits)
-
-
-def annotate(df: DataFrame, model: Model, text_column: str = "text", names: tuple[str, str] = ("lang_pred", "score"), slice_bytes: int = 1 << 18) -> DataFrame:
-    """The rows of df with two more columns, language and score; columns of those names are replaced."""
-    df = df.drop(*names)
-    known = df.sparkSession.sparkContext.broadcast(model)  # 2 ** bits rows of one weight a language
-    at, columns = df.columns.index(text_column), [*df.columns, *names]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, text_column, slice_bytes):
-                languages, scores = known.value.predict(*flat_text(batch.column(at)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], columns)
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
-
-
 def predict(df: DataFrame, model: Model, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, held_out, lang_pred, score), one row for each row in.
 
