@@ -1,9 +1,10 @@
 """WARC archives with resolved revisits (operator 5).
 
-Headers (digest and page id) are shuffled by payload digest and reduced to the smallest page of each
-digest that returns; pages learn from that whether they are the original or revisit it. Archives are
-written with fresh headers and without the payloads of revisits; reading them back, each revisit
-record is joined to the response that it refers to.
+Headers are shuffled by payload digest and reduced to the smallest page of each digest that returns;
+joined with these, they tell which pages are revisits. Payloads are not shuffled for that: the pages
+that a bitmap of revisits can't hold stay where they are, and only the few others that it takes for
+revisits are looked up by a join. Archives are written with fresh headers and without the payloads of
+revisits; reading them back, each revisit record is joined to the response that it refers to.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lamina.llm.bitmap import Bitmap
 from lamina.llm.common import materialised, shared_folder
 
 CRLF, END = "\r\n", "\r\n\r\n"
@@ -26,14 +29,31 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def resolved(pages: DataFrame, least_bytes: int, id_column: str, url_column: str, html_column: str) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): refers_to is set for revisits only."""
+    """(page_id, url, payload, digest, refers_to): refers_to is set for revisits only, whose payload is null."""
     payload = F.coalesce(html_column, F.lit(""))
     page = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    heads = page.where(F.octet_length("payload") >= least_bytes).groupBy(F.col("digest").alias("of_digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    headers = materialised(page.select("page_id", "url", "digest", F.octet_length("payload").alias("size")))
+    heads = headers.where(F.col("size") >= least_bytes).groupBy(F.col("digest").alias("of_digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     # Kept apart from the join, or the partition of a payload that many pages share could not be split.
     returning = materialised(heads.where("n > 1 AND first IS NOT NULL").select("of_digest", "first"))
-    joined = page.join(returning, page["digest"] == returning["of_digest"], "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    again = Bitmap(returning.select(F.xxhash64("of_digest").alias("of")), "of")
+    maybe = again.filter(headers.withColumn("mark", F.xxhash64("digest")), "mark")
+    met = maybe.join(returning, maybe["digest"] == returning["of_digest"]).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    revisits = materialised(met.select("page_id", "url", F.lit(None).cast("string").alias("payload"), "digest", F.col("first").alias("refers_to")))
+
+    pair = F.xxhash64("page_id", "digest")
+    pairs = lambda df: df.select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest")).distinct()
+    held = Bitmap(revisits.select(pair.alias("of")), "of")
+    suspects = held.filter(headers.withColumn("mark", pair), "mark").select("page_id", "digest")
+    wrong = materialised(pairs(_by_pair(suspects, pairs(revisits), "left_anti")))
+    marked = page.withColumn("mark", pair)
+    looked_up = Bitmap(wrong.select(F.xxhash64("of_page", "of_digest").alias("of")), "of").filter(marked, "mark")
+    responses = held.filter(marked, "mark", inside=False).unionAll(_by_pair(looked_up, wrong, "left_semi")).drop("mark")
+    return responses.withColumn("refers_to", F.lit(None).cast(page.schema["page_id"].dataType)).unionAll(revisits)
+
+
+def _by_pair(pages: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
+    return pages.join(pairs, pages["page_id"].eqNullSafe(pairs["of_page"]) & (pages["digest"] == pairs["of_digest"]), how)
 
 
 def header(name: str, value: Column) -> Column:
@@ -44,7 +64,7 @@ def header(name: str, value: Column) -> Column:
 def record(date: str) -> Column:
     """A whole record as text, without the blank lines that end it."""
     revisit = F.col("refers_to").isNotNull()
-    block = F.concat(F.lit(HTTP), F.when(revisit, F.lit("")).otherwise(F.col("payload")))
+    block = F.concat(F.lit(HTTP), F.coalesce("payload", F.lit("")))
     urn = lambda page: F.concat(F.lit("<urn:x-page:"), page.cast("string"), F.lit(":"), F.col("digest"), F.lit(">"))
     unsafe = F.col("url").rlike(r"[\x00-\x20\x7f]")
     return F.concat(
@@ -140,6 +160,7 @@ def revisits_resolved(records: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to): revisit records take the size
     and digest of the response that they refer to. One response may be revisited by any number of
     records; the engine splits such a partition, as only the revisits' side of the join is skewed."""
+    records = materialised(records)  # without payloads; the archives are read and checked once
     responses = records.where("record_type = 'response'")
     originals = responses.select(F.col("page_id").alias("original"), F.col("digest").alias("of_digest"), F.col("payload_bytes").alias("bytes")).distinct()
     revisits = records.where("record_type = 'revisit'").drop("payload_bytes")
@@ -155,8 +176,11 @@ def deduplicated(pages: DataFrame, folder: str | None = None, least_bytes: int =
     A null html is an empty payload. Payloads under least_bytes are always responses. Among equal
     payloads, rows with the smallest page_id are responses (all of them, if that row repeats), the rest
     revisit it; a null page_id revisits any other and is a response where no row has an id. A null url
-    leaves its header out. An empty table writes no record and gives an empty result.
+    leaves its header out. An empty table writes no record and gives an empty result. Page ids must be
+    whole numbers, up to a long: those of another type raise ValueError.
     """
+    if not isinstance(pages.schema["page_id"].dataType, T.IntegralType):
+        raise ValueError("page ids must be whole numbers")
     spark = pages.sparkSession
     folder = folder or shared_folder(spark, "warc")
     write_archives(pages, folder, least_bytes)
