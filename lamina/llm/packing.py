@@ -1,9 +1,9 @@
 """Packing of documents into sequences (operator 8): first-fit decreasing with a tournament tree of
 bin capacities, run independently in randomised groups.
 
-Texts become ids where they are read, and only lengths and checksums of pieces are shuffled: by a
-hash, so that each group is a random draw. A group has a bounded number of pieces whatever the
-number of documents, and no group needs another.
+Texts become ids where they are read, and only lengths and checksums of pieces are kept and shuffled:
+to as many groups as their number asks for, by a hash, so that each group is a random draw. A group
+has about `group_pieces` pieces whatever the number of documents or of partitions, and none needs another.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import slices
+from lamina.llm.common import materialised, slices, unused
 from lamina.llm.pieces import PieceMemo, piece_encoder, segments
+from lamina.llm.simhash import whole_groups
+
+
+GROUP_BITS = 32
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -109,34 +112,27 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int =
 
     A document is its ids and then end_id, so a null or empty text is one id. Ids of rows may be null
     or repeat (each row is packed for itself); an empty table gives an empty result; columns other
-    than the two named are not looked at. sequence_id is unique; it depends on how the rows are
-    partitioned, as the groups do, and on nothing else.
+    than the two named are not looked at. sequence_id is unique: the number of the group above
+    GROUP_BITS bits of a number within it.
     """
     kind = df.schema[id_column].dataType.simpleString()
     names = [id_column, "start", "length", "ids_crc32", "doc_tokens"]
 
+    found = pieces(df, tokenizer_path, capacity, end_id, id_column, text_column)
+    group_number, row_number, draw = unused(found, "group_number", "row_number", "draw")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = TaskContext.get().partitionId() << 40
-        waiting: list[pa.RecordBatch] = []
-
-        def packed() -> pa.RecordBatch:
-            nonlocal made
-            rows = pa.Table.from_batches(waiting).combine_chunks()
-            bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), capacity)
-            waiting.clear()
-            first, made = made, made + (int(bins.max()) + 1 if len(bins) else 0)
-            return pa.RecordBatch.from_arrays([*(rows[n].combine_chunks() for n in names), pa.array(bins + first), pa.array(offsets)], [*names, "sequence_id", "offset"])
-
-        for batch in batches:
-            while batch.num_rows:
-                room = group_pieces - sum(b.num_rows for b in waiting)
-                waiting.append(batch.slice(0, room))
-                batch = batch.slice(room)
-                if sum(b.num_rows for b in waiting) == group_pieces:
-                    yield packed()
-        if waiting:
-            yield packed()
-
-    cut = pieces(df, tokenizer_path, capacity, end_id, id_column, text_column)
-    shuffled = cut.withColumn("_draw", F.xxhash64(*names)).repartition("_draw").sortWithinPartitions("_draw", *names)
-    return shuffled.select(*names).mapInArrow(run, f"{id_column} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+        for table, group in whole_groups(batches, (group_number,), group_pieces):
+            edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                rows = table.slice(a, b - a)
+                bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), capacity)
+                first = rows[group_number][0].as_py() << GROUP_BITS
+                yield pa.RecordBatch.from_arrays([*(rows[n].combine_chunks() for n in names), pa.array(bins + first), pa.array(offsets)], [*names, "sequence_id", "offset"])
+
+    cut = materialised(found.withColumn(row_number, F.monotonically_increasing_id()))
+    groups = max(1, -(-cut.count() // group_pieces))
+    # The row's number keeps rows that repeat from all being drawn to one group.
+    drawn = cut.select(*names, F.pmod(F.xxhash64(*names, row_number), F.lit(groups)).alias(group_number), F.xxhash64(row_number, *names).alias(draw))
+    shuffled = drawn.repartition(group_number).sortWithinPartitions(group_number, draw).select(group_number, *names)
+    return shuffled.mapInArrow(run, f"{id_column} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
