@@ -9,22 +9,26 @@ query meets every candidate, so the work is what was asked for; memory is that o
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST = (1 << 63) - 1
+MOST, LARGEST = (1 << 63) - 1, sys.float_info.max
 
 
 def quantised(df: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
-    """(id, weights array<double>): floor(scale * x) of rows with an id and a finite vector."""
+    """(id, weights array<double>): floor(scale * x) of rows with an id and a finite vector. What the
+    product takes beyond a double is the largest double."""
     wide = F.transform(vector_column, lambda x: x.cast("double"))
     sound = F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & F.forall(wide, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     # Spark's floor of a double is a long and saturates; what lies beyond a long is whole already.
     floor = lambda y: F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
-    return df.where(sound).select(F.col(id_column).cast("long").alias("id"), F.transform(wide, lambda x: floor(x * F.lit(float(scale)))).alias("weights"))
+    within = lambda y: F.greatest(F.least(y, F.lit(LARGEST)), F.lit(-LARGEST))
+    return df.where(sound).select(F.col(id_column).cast("long").alias("id"), F.transform(wide, lambda x: floor(within(x * F.lit(float(scale))))).alias("weights"))
 
 
 def dense(ids: pa.Array, weights: pa.Array, terms: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +102,7 @@ def best(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) ->
     return out
 
 
-def top_k(df: DataFrame, is_query: str, k: int = 5, scale: int = 256, id_column: str = "vec_id", vector_column: str = "embedding", query_block: int = 512, candidate_block: int = 8192, most_scores: int = 1 << 16) -> DataFrame:
+def top_k(df: DataFrame, is_query: str, k: int = 5, scale: int = 256, id_column: str = "vec_id", vector_column: str = "embedding", query_block: int = 4096, candidate_block: int = 8192, block_bytes: int = 16 << 20, most_scores: int = 1 << 16) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k candidates of highest integer inner product.
 
     is_query is a SQL condition on `id`. Rows whose id is null, and vectors that are null or hold a
@@ -107,14 +111,17 @@ def top_k(df: DataFrame, is_query: str, k: int = 5, scale: int = 256, id_column:
     id are queries of their own. Ties go to the smaller id. Vectors of unequal length meet in the terms
     they share; an empty one scores 0. A score beyond a long is given as the nearest long. With fewer
     than k candidates, all are given; an empty table gives an empty result; other columns are not
-    looked at. A cell holds candidate_block + query_block rows of as many doubles as the longest vector.
+    looked at. A cell holds about candidate_block + query_block rows (fewer where long vectors would make
+    either more than block_bytes) of as many doubles as the longest vector.
     """
     rows = quantised(df, id_column, vector_column, scale)
-    n_rows, n_queries = rows.select(F.count("*"), F.count_if(F.expr(is_query))).first()
+    n_rows, n_queries, terms = rows.select(F.count("*"), F.count_if(F.expr(is_query)), F.max(F.size("weights"))).first()
+    query_block, candidate_block = (max(1, min(n, block_bytes // (8 * max(1, terms or 0)))) for n in (query_block, candidate_block))
     query_blocks, blocks = max(1, -(-n_queries // query_block)), max(1, -(-n_rows // candidate_block))
-    # Rows are dealt to blocks by their values, so that a lost task deals them alike again.
+    # Rows are dealt to blocks by their values and the part of the input they are read from, so that a
+    # lost task deals them alike again, and rows that repeat don't all meet in one block.
     deal = lambda n, *more: F.pmod(F.xxhash64("id", "weights", *more), F.lit(n))
-    candidates = rows.select(F.lit(False).alias("asks"), "id", "weights", deal(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
+    candidates = rows.select(F.lit(False).alias("asks"), "id", "weights", deal(blocks, F.spark_partition_id()).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
     queries = rows.where(is_query).distinct().select(F.lit(True).alias("asks"), "id", "weights", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), deal(query_blocks, F.lit(1)).alias("query_block"))
 
     def cell(group: pa.Table) -> pa.Table:
