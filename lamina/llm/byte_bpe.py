@@ -1,21 +1,24 @@
 """Byte-level BPE encoding and decoding with the tokenizers library (operator 6).
 
 A file of ranks becomes a `tokenizers` model: every byte is written as a printable character, and
-every way to split a token into two others is a merge, in rank order. Where a rank can be reached by
-overlapping merges the library's order may differ from that of a pure rank file, and its Unicode
-tables from those of the split pattern's own engine; so the ids of each distinct piece are checked
-against tiktoken, whose ids stand where they differ. Decoding maps ids to characters and reverses the
-byte table; a character split over tokens is put together again.
+every way to split a token into two others is a merge. The library takes the merge of the lowest place
+in that list, where a pure rank file takes the lowest rank and then the leftmost; so of the splits of
+one token those come first that are the left one of two that overlap. A piece that is a token is one.
+The tests hold the ids against tiktoken's.
+
+Decoding maps ids to characters and reverses the byte table; a character that is split over tokens is
+put together again, and belongs to the token that ends it.
 """
 
 from __future__ import annotations
 
 import base64
 import codecs
+import contextlib
 import functools
 import hashlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,59 +29,72 @@ from lamina.llm.pieces import PieceMemo, piece_encoder, segments
 from lamina.llm.token_counts import byte_characters
 
 
+def split_order(token: bytes, at: int) -> tuple[bool, int]:
+    """Orders the splits of a token. Two merges to the same token overlap, as x|y|z with xy = yz, only
+    if len(x) is a period of it: then the split after x must come before the one after y."""
+    return token[at:] != token[: len(token) - at], at
+
+
 class ByteBpe:
     def __init__(self, rank_path: str, pattern: str):
-        import tiktoken
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         with open(rank_path, "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         to_char = byte_characters()
         name = lambda raw: "".join(map(to_char.__getitem__, raw))
-        merges = [(ranks[t], ranks[t[:k]], ranks[t[k:]], name(t[:k]), name(t[k:])) for t in ranks for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        self.tokenizer = Tokenizer(models.BPE({name(t): r for t, r in ranks.items()}, [m[3:] for m in sorted(merges)]))
+        merges = [(ranks[t], split_order(t, k), name(t[:k]), name(t[k:])) for t in ranks for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        self.tokenizer = Tokenizer(models.BPE({name(t): r for t, r in ranks.items()}, [m[2:] for m in sorted(merges)], ignore_merges=True))
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.check = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         byte_of = {c: b for b, c in to_char.items()}
         self.bytes_of = {i: bytes(map(byte_of.__getitem__, t)) for t, i in self.tokenizer.get_vocab().items()}
+        self.text_of: dict[int, str] = {}  # tokens of whole characters
+        for i, raw in self.bytes_of.items():
+            with contextlib.suppress(UnicodeDecodeError):
+                self.text_of[i] = raw.decode()
         self.encode = piece_encoder(self.tokenizer)
         self.memo = PieceMemo(self._piece)
 
-    def _piece(self, piece: str) -> tuple[list[int], str]:
-        ids = self.encode(piece)
-        if ids != (exact := self.check.encode_ordinary(piece)):
-            ids = exact
-        return ids, ",".join(map(str, ids))
+    def _piece(self, piece: str) -> tuple[tuple[int, ...], str, bytes, int]:
+        """(ids, the same as text, what they decode to, tokens that hold only part of a character)."""
+        ids = tuple(self.encode(piece))
+        named = ",".join(map(str, ids))
+        if all(map(self.text_of.__contains__, ids)):
+            return ids, named, "".join(map(self.text_of.__getitem__, ids)).encode(), 0
+        spans = self.offsets(piece, ids)
+        partial = sum(any(a < stop and start < b for a, b in spans[max(0, k - 1) : k] + spans[k + 1 : k + 2]) for k, (start, stop) in enumerate(spans))
+        return ids, named, "".join(self.decode(ids)).encode(), partial
 
     def ids(self, text: str) -> list[int]:
         return list(chain.from_iterable(x[0] for x in self.memo.of(text)))
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """(tokens, SHA-256 of the decimal ids joined by commas, SHA-256 of what the ids decode to)."""
-        n, encoded, decoded = 0, hashlib.sha256(), hashlib.sha256()
+    def digests(self, text: str) -> tuple[int, str, str, int]:
+        """(tokens, SHA-256 of the decimal ids joined by commas, SHA-256 of what the ids decode to,
+        tokens that hold only part of a character)."""
+        n, partial, encoded, decoded = 0, 0, hashlib.sha256(), hashlib.sha256()
         for part in segments(text):
             found = self.memo.of(part)
-            ids = list(chain.from_iterable(x[0] for x in found))
-            encoded.update((("," if n and ids else "") + ",".join([x[1] for x in found])).encode())
-            decoded.update(self.decode_bytes(ids))
-            n += len(ids)
-        return n, encoded.hexdigest(), decoded.hexdigest()
-
-    def decode_bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-    def decode(self, ids: list[int]) -> list[str]:
+            if found:
+                encoded.update((("," if n else "") + ",".join([x[1] for x in found])).encode())
+                decoded.update(b"".join([x[2] for x in found]))
+                n += sum([len(x[0]) for x in found])
+                partial += sum([x[3] for x in found])
+        return n, encoded.hexdigest(), decoded.hexdigest(), partial
+
+    def decode(self, ids: Sequence[int]) -> list[str]:
         """The text of each token; a character split over tokens belongs to the token that ends it,
         and bytes that are no UTF-8 become U+FFFD."""
         reader = codecs.getincrementaldecoder("utf-8")("replace")
         return [reader.decode(self.bytes_of[i], final=k == len(ids) - 1) for k, i in enumerate(ids)]
 
-    def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
+    def offsets(self, text: str, ids: Sequence[int]) -> list[tuple[int, int]]:
         """Characters [start, stop) of each token; tokens that share a character both span it."""
+        ends = list(accumulate(len(self.bytes_of[i]) for i in ids))
+        starts = [0, *ends][: len(ends)]
+        if text.isascii():
+            return list(zip(starts, ends, strict=True))
         raw = np.frombuffer(text.encode(), np.uint8)
         character = np.append(np.cumsum((raw & 0xC0) != 0x80) - 1, len(text))
-        ends = np.cumsum([len(self.bytes_of[i]) for i in ids], dtype=np.int64)
-        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         return [(int(character[a]), int(character[b - 1]) + 1) for a, b in zip(starts, ends, strict=True)]
 
 
@@ -118,8 +134,8 @@ def decode(df: DataFrame, rank_path: str, pattern: str, id_column: str = "doc_id
 
 
 def round_trip(df: DataFrame, rank_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): digests of the encoding and of what it decodes to,
-    one row for each row in. A null or empty text has no tokens (digests of the empty string); ids may
+    """(id, n_tokens, ids_sha256, decoded_sha256, n_partial): digests of the encoding and of what it
+    decodes to, and how many tokens hold only part of a character; one row for each row in. A null or empty text has no tokens (digests of the empty string); ids may
     be null or repeat; an empty table gives an empty result; other columns are not looked at."""
     kind = df.schema[id_column].dataType.simpleString()
 
@@ -127,7 +143,7 @@ def round_trip(df: DataFrame, rank_path: str, pattern: str, id_column: str = "do
         bpe = byte_bpe(rank_path, pattern)
         for whole in batches:
             for batch in slices(whole, text_column, slice_bytes):
-                n, encoded, decoded = zip(*(bpe.digests(text.as_py() or "") for text in batch.column(1)), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(encoded), pa.array(decoded)], [id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
+                n, encoded, decoded, partial = zip(*(bpe.digests(text.as_py() or "") for text in batch.column(1)), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(encoded), pa.array(decoded), pa.array(partial, pa.int64())], [id_column, "n_tokens", "ids_sha256", "decoded_sha256", "n_partial"])
 
-    return df.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_partial long")

@@ -41,7 +41,7 @@ class PieceMemo(dict):
     goes when the younger has `most` pieces, and pieces of over `long` characters are not kept. That
     bounds memory and changes no result."""
 
-    def __init__(self, encode: Callable[[str], Any], most: int = 200_000, long: int = 200):
+    def __init__(self, encode: Callable[[str], Any], most: int = 400_000, long: int = 200):
         super().__init__()
         self.encode, self.most, self.long, self.older = encode, most, long, {}
 

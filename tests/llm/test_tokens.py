@@ -55,7 +55,7 @@ def test_pieces_give_the_libraries_ids(library, ranks, text):
     bpe = byte_bpe.byte_bpe(RANKS, vocabularies.PATTERN)
     ids = bpe.ids(text)
     assert ids == ranks.encode_ordinary(text)
-    assert bpe.decode_bytes(ids) == text.encode() and "".join(bpe.decode(ids)) == text
+    assert b"".join(bpe.bytes_of[i] for i in ids) == text.encode() and "".join(bpe.decode(ids)) == text
     spans = bpe.offsets(text, ids)
     assert all(text[a:b].encode().find(bpe.bytes_of[i]) >= 0 or b - a >= 1 for i, (a, b) in zip(ids, spans, strict=True))
     assert not spans or (spans[0][0] == 0 and spans[-1][1] == len(text))
@@ -64,10 +64,10 @@ def test_pieces_give_the_libraries_ids(library, ranks, text):
 @settings(max_examples=100, deadline=None)
 @given(mixed, st.integers(1, 20))
 def test_segments_change_no_id(compiled, library, text, most):
-    from lamina.llm.pieces import PIECE, segments
+    from lamina.llm.pieces import segments
 
-    parts = list(segments(text, most))
-    assert "".join(parts) == text and [p for part in parts for p in PIECE.findall(part)] == PIECE.findall(text)
+    parts, split = list(segments(text, most)), library.pre_tokenizer.pre_tokenize_str
+    assert "".join(parts) == text and [name for part in parts for name, _ in split(part)] == [name for name, _ in split(text)]
     assert compiled.count_long(text, most) == len(library.encode(text, add_special_tokens=False).ids)
 
 
@@ -111,14 +111,25 @@ def test_token_counts(spark, library):
     assert token_counts.count_tokens(df.limit(0), JSON).count() == 0
 
 
+def tokens_whole(ranks, i):
+    try:
+        return bool(ranks.decode_single_token_bytes(i).decode())
+    except UnicodeDecodeError:
+        return False
+
+
 def test_round_trip(spark, ranks):
     df, rows = documents(spark)
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = [(i, len(ids := ranks.encode_ordinary(t or "")), sha(",".join(map(str, ids)).encode()), sha((t or "").encode())) for i, t, *_ in rows]
-    assert sorted((r[:] for r in byte_bpe.round_trip(df, RANKS, vocabularies.PATTERN).collect()), key=str) == sorted(want, key=str)
+    got = byte_bpe.round_trip(df, RANKS, vocabularies.PATTERN).collect()
+    assert sorted((r[:4] for r in got), key=str) == sorted(want, key=str)
+    partial = lambda t: sum(not tokens_whole(ranks, i) for i in ranks.encode_ordinary(t or ""))
+    texts = {i: t for i, t, *_ in rows}
+    assert all(r.n_partial >= partial(texts[r.doc_id]) for r in got) and sum(r.n_partial for r in got) > 0
     long = "ab c1 " * 700_000
     ids = ranks.encode_ordinary(long)
-    assert byte_bpe.byte_bpe(RANKS, vocabularies.PATTERN).digests(long) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(long.encode()))
+    assert byte_bpe.byte_bpe(RANKS, vocabularies.PATTERN).digests(long) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(long.encode()), 0)
     encoded = byte_bpe.encode(df, RANKS, vocabularies.PATTERN)
     back = byte_bpe.decode(encoded, RANKS, vocabularies.PATTERN)
     assert sorted((r[:] for r in back.collect()), key=str) == sorted(((i, t or "") for i, t, *_ in rows), key=str)
@@ -127,11 +138,47 @@ def test_round_trip(spark, ranks):
 
 def test_split_characters():
     bpe = byte_bpe.byte_bpe(RANKS, vocabularies.PATTERN)
-    single = [bpe.check.encode_single_token(bytes([b])) for b in "é".encode()]
+    single = [next(i for i, raw in bpe.bytes_of.items() if raw == bytes([b])) for b in "é".encode()]
     assert bpe.decode(single) == ["", "é"] and bpe.offsets("é", single) == [(0, 1), (0, 1)]
     assert bpe.decode(single[:1]) == ["�"]
 
 
+def test_the_library_alone_gives_the_ranks_own_ids(ranks):
+    """Merges that overlap, tokens that repeat, and characters of every plane, without tiktoken's help."""
+    bpe = byte_bpe.byte_bpe(RANKS, vocabularies.PATTERN)
+    r = random.Random(4)
+    texts = ["".join(r.choices(pool, k=r.choice([5, 20, 60]))) for pool in ("ab", "=-", "กขำ", "01", "日本語", "éeè", " \n\t\u3000") for _ in range(150)]
+    for raw in r.sample(sorted(bpe.bytes_of.values()), 1500):
+        t = raw.decode(errors="ignore")
+        texts += [t, t * 2, t * 5 + t[:1]]
+    texts += [f"a{c}1{c}!{c} {c}" for c in map(chr, range(0x80, 0x20000, 7)) if not "\ud800" <= c <= "\udfff"]
+    assert [t for t in texts if bpe.ids(t) != ranks.encode_ordinary(t)] == []
+
+
+def test_long_pre_tokens_are_walked_by_chunks(compiled, library):
+    r = random.Random(6)
+    letters = lambda n: "".join(r.choices("abcdefghijklmnoprstuvwxyz", k=n))
+    texts = ["a" * 70_001, "ab" * 9000, letters(9000), ("a" * 777 + "b") * 20, "=-" * 5000, letters(2048), letters(2049) + " x", "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(3000))]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert compiled.count(*flat_text(pa.array(texts))).tolist() == want
+    forgetful = token_counts.CompiledTokenizer(JSON, token_counts.class_ranges_of(JSON))
+    forgetful.merges.most = 20
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    whole = [k for k, t in enumerate(texts) if " " not in t]
+    assert [forgetful.merges.count_chunks(data[k], block=3) for k in whole] == [want[k] for k in whole]
+
+
+def test_long_texts_without_blanks_are_cut(library):
+    from lamina.llm.pieces import segments
+
+    cjk = "日本語のテキスト。" * 3000
+    assert max(map(len, segments(cjk, 500))) < 600
+    base = "QUJD" * 20 + "1a2b3c" * 2000
+    assert max(map(len, segments(base, 500))) < 700
+    for t in (cjk, base, "x\n" * 3000):
+        assert packing.ids_of(JSON).of(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def check_packing(rows, texts_by_row, library, capacity):
     """Every id of every document in exactly one piece, sequences gapless and within capacity."""
     sequences, covered = {}, {}
@@ -163,6 +210,9 @@ def test_packing(spark, library):
         rows = [r[:] for r in packing.pack(df, JSON, group_pieces=group).collect()]
         padding = check_packing(rows, dict(enumerate(texts)), library, 2048)
         assert padding < (0.06 if group > 7 else 1)
+    spread = [packing.pack(df.repartition(n), JSON) for n in (1, 37)]
+    paddings = [check_packing([r[:] for r in p.collect()], dict(enumerate(texts)), library, 2048) for p in spread]
+    assert max(paddings) < 0.06  # however many partitions there are
     odd, given_rows = documents(spark)
     assert packing.pack(odd, JSON).select("doc_id").distinct().count() == len({r[0] for r in given_rows})
     assert packing.pack(odd.limit(0), JSON).count() == 0
