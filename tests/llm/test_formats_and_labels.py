@@ -339,6 +339,14 @@ def test_the_whole_pipeline(spark, sf):
     assert max(filled.values()) <= 2048 and len({r.doc_id for r in rows}) > 100
 
 
-def test_every_query_runs(spark, sf):
+def test_every_query_runs_over_its_whole_table(spark, sf):
+    rows = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "pages")}
     for name, query in queries().items():
-        assert query(spark, sf).count() > 0, name
+        found = query(spark, sf)
+        table, key = ("pages", "page_id") if name == "op5_warc" else ("documents", "doc_id")
+        if name == "op2_exact_topk":
+            assert found.count() > 0
+            continue
+        want = sorted(r[0] for r in rows[table].select(key).collect())
+        got = sorted(r[0] for r in found.select(key).collect())
+        assert (sorted(set(got)) if name == "op8_packing" else got) == want, name
