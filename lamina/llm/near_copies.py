@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from lamina.llm.bitmap import Bitmap
 from lamina.llm.common import materialised, slices, unused
-from lamina.llm.components import components
-from lamina.llm.simhash import first_row, join, keepers, trie_links, whole_groups, word_parts
+from lamina.llm.components import components, join
+from lamina.llm.simhash import first_row, keepers, trie_links, whole_groups, word_parts
 
 #: Links (row, row) among the rows of a table, given the number of each row's group.
 Linker = Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import materialised, slices
-from lamina.llm.components import components
+from lamina.llm.components import components, join
 
 BITS = 64
 
@@ -228,19 +228,6 @@ def products(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) ->
     return left[keep], right[keep]
 
 
-def join(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-    """Merges what is linked; root[i] ends as the smallest index linked to i."""
-    while len(left):
-        a, b = root[left], root[right]
-        apart = a != b
-        if not apart.any():
-            return
-        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (root[root] != root).any():
-            root[:] = root[root]
-
-
 def links(rows: DataFrame, budget: int = 3, most: int = 4096, buffer_rows: int = 1 << 15) -> DataFrame:
     """(node, other): enough links between fingerprints within budget to connect all that are.
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.llm import components as components_module
 from lamina.llm import near_copies
 from lamina.llm.components import components
 from tests.llm.helpers import documents
@@ -132,6 +133,44 @@ def test_a_large_group_costs_a_row_for_each_member(spark):
     assert len(sizes) == 1 and sizes[0]["count"] == distinct.count() - 1
 
 
+def test_links_of_one_group_are_shuffled_by_node(spark, monkeypatch):
+    """2,000 near copies, each proposed by up to 40 keys: a round has a row for each, not one for each link."""
+    r, rounds, real = random.Random(5), [], components_module.materialised
+
+    def counted(df):
+        out = real(df)
+        if out.columns == ["child", "parent"]:
+            rounds.append(out.count())
+        return out
+
+    monkeypatch.setattr(components_module, "materialised", counted)
+    base = words(r, 60)
+    df = spark.createDataFrame([(k, " ".join(changed(r, base, 0.06))) for k in range(2000)], "doc_id long, text string")
+    distinct = near_copies.distinct_texts(near_copies.signatures(df, 10))
+    proposed = near_copies.proposals(distinct, 10, 22, 34).cache()
+    n = distinct.count()
+    assert proposed.count() > 10 * n
+    got = components(proposed).collect()
+    smallest = distinct.agg(F.min("fp")).first()[0]
+    assert len({x.node for x in got}) == n - 1 and {x.root for x in got} == {smallest}
+    assert len(rounds) > 1 and max(rounds) < n
+
+
+@pytest.mark.parametrize("most", [1 << 18, 50, 1])
+def test_components_of_any_links(spark, most):
+    """Stars, chains, pairs and single links in any direction, twice or to themselves, in tasks of any size."""
+    r = random.Random(6)
+    of = lambda k: k * 7919 % 1009 - 500  # noqa: E731  negative ones too, in no order
+    pairs = [(0, k) for k in range(1, 60)] + [(k, k + 1) for k in range(100, 180)] + [(k, k) for k in range(300, 310)]
+    pairs += [(r.randrange(400, 600), r.randrange(400, 600)) for _ in range(90)]
+    pairs = [(of(a), of(b)) if r.random() < 0.5 else (of(b), of(a)) for a, b in [*pairs, *pairs[::5]]]
+    root = {x.node: x.root for x in components(spark.createDataFrame(pairs, "node long, other long"), most).collect()}
+    nodes = sorted({x for pair in pairs for x in pair})
+    linked = set(pairs) | {(b, a) for a, b in pairs}
+    want = [nodes[k] for k in groups_of(nodes, lambda a, b: (a, b) in linked)]
+    assert [root.get(x, x) for x in nodes] == want
+
+
 def test_exact_links_of_sets():
     r = random.Random(1)
     base = words(r, 80)
