@@ -421,6 +421,11 @@ class Store:
         for e in gone:
             if not e.adopted:
                 self._file.remove(e.path)
+        # Days lie in the folder of the move that wrote them, which goes with the last of them.
+        named = {p.rpartition("/")[0] for p in list(self._manifest.entries)}
+        for folder in {e.path.rpartition("/")[0] for e in gone if e.tier == "warm" and not e.adopted} - named:
+            if folder.startswith(f"{self.config.storage.warm_path}/"):
+                self._file.remove(folder)
 
     def _move(self, chosen: Sequence[Entry], source: DataFrame, to: str, on_step: Callable[[str], None] = lambda step: None) -> int:
         with self._lock:

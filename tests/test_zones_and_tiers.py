@@ -139,6 +139,20 @@ def test_compaction_of_days_and_runs(spark, tmp_path):
     assert not store.vacuum()
 
 
+def test_a_warm_folder_goes_with_its_last_day(spark, tmp_path):
+    """Days that are left keep their folder and rows; an emptied folder is not left behind."""
+    store = open_store(spark, str(tmp_path / "s"), hot_tier={"merge_rows": 0})
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 43_200)
+    store.ingest(spark.range(6).select("id", at.alias("timestamp")))  # three or four days
+    store.migrate("hot")
+    folders = lambda: sorted(p.name for p in (tmp_path / "s" / "warm").iterdir() if p.is_dir())
+    (folder,) = folders()
+    moved = store.migrate("warm", rows=1)
+    assert 0 < moved < 6 and folders() == [folder] and store.query().count() == 6 and not store.vacuum()
+    assert store.migrate("warm") == 6 - moved
+    assert not folders() and store.query().count() == 6 and not store.vacuum()
+
+
 def test_retention_and_tiers(spark, tmp_path):
     store = open_store(spark, str(tmp_path / "s"), hot_tier={"merge_rows": 0})
     for k in range(5):
