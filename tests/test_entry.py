@@ -32,6 +32,17 @@ def test_query_matches_its_sql(spark, sf, name):
     same(query(spark, sf), sql, sf)
 
 
+def small_hot_tier(monkeypatch):
+    """Each quarter of events is more than the hot tier takes, so all of it moves on at once, as with larger tables."""
+    monkeypatch.setenv("LAMINA_HOT_MAX_RECORDS", "100")
+
+
+def test_statistics_when_the_hot_tier_is_empty(spark, sf, monkeypatch):
+    small_hot_tier(monkeypatch)
+    query, sql = registry.REGISTERED["store_stats"]
+    same(query(spark, sf), sql, sf)
+
+
 def test_entry_and_names(spark, sf):
     assert driver.entry(spark).count() == 10
     assert set(driver.oracle_sql()) <= set(driver.queries())
