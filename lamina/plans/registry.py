@@ -250,7 +250,9 @@ def store_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     for tier in ("hot", "warm", "cold"):
         own = found[tier]
         share = own["capacity_pct"] is None if tier == "cold" else abs(own["capacity_pct"] - 100 * own["total_records"] / shares[tier]) < 1e-9
-        rows.append((own["total_records"], own["files"] >= own["entries"] > 0 and own["bytes"] > own["total_records"], share))
+        # A tier whose rows have all moved on uses nothing.
+        used = own["files"] >= own["entries"] and own["bytes"] > own["total_records"] if own["entries"] else own["total_records"] == own["files"] == own["bytes"] == 0
+        rows.append((own["total_records"], used, share))
     told = spark.createDataFrame(rows, "n long, used boolean, share boolean")
     return told.agg(F.sum("n").alias("n"), F.every("used").alias("used"), F.every("share").alias("share"))
 

@@ -37,9 +37,10 @@ def small_hot_tier(monkeypatch):
     monkeypatch.setenv("LAMINA_HOT_MAX_RECORDS", "100")
 
 
-def test_statistics_when_the_hot_tier_is_empty(spark, sf, monkeypatch):
+@pytest.mark.parametrize("name", ["store_stats", "store_usage"])
+def test_statistics_when_the_hot_tier_is_empty(spark, sf, monkeypatch, name):
     small_hot_tier(monkeypatch)
-    query, sql = registry.REGISTERED["store_stats"]
+    query, sql = registry.REGISTERED[name]
     same(query(spark, sf), sql, sf)
 
 
