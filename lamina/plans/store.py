@@ -7,6 +7,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
+from functools import reduce
 from typing import Any, Protocol
 
 import pyarrow as pa
@@ -95,21 +96,25 @@ class Store:
             return False
         if isinstance(batch, pa.RecordBatch):
             batch = pa.Table.from_batches([batch])
+        with self._lock:
+            self._manifest.sequence += 1
+            number_of_batch = self._manifest.sequence
         name = f"{self.config.storage.landing_path}/{uuid.uuid4().hex}"
         if isinstance(batch, pa.Table) and batch.nbytes <= DRIVER_BYTES and tier == "hot":
             table, schema = conform_arrow(batch, self.schema, self.merge_schema)
             self._has_time(schema)
-            added = [Entry("hot", name, *self._write_arrow(table, name), 0)]
+            held = number_of_batch if table.num_rows else None
+            added = [Entry("hot", name, *self._write_arrow(table.append_column(tiers.BATCH, pa.repeat(number_of_batch, table.num_rows)), name), 0, first_batch=held, last_batch=held)]
         else:
             df = self.spark.createDataFrame(conform_arrow(batch, self.schema, self.merge_schema)[0]) if isinstance(batch, pa.Table) else batch
             df, schema = (df, nullable(df.schema.fields)) if self.schema is None else conform(df, self.schema, self.merge_schema)
             self._has_time(schema)
-            added = self._write(df, schema, tier, name)
+            added = self._write(df.withColumn(tiers.BATCH, F.lit(number_of_batch).cast("long")), schema, tier, name)
         with self._lock:
             self._manifest.schema = schema.json()
-            self._manifest.sequence += 1
+            self._manifest.sequence = max(self._manifest.sequence, number_of_batch)
             for e in added:
-                e.sequence = self._manifest.sequence
+                e.sequence = number_of_batch
             if origin:
                 self._manifest.streams[stream] = number
             self._publish([], added)
@@ -146,7 +151,7 @@ class Store:
             if not chosen:
                 return 0
             to = "warm" if tier == "hot" and self.config.warm_tier.enabled else "cold"
-            return self._move(chosen, self._read(chosen), to, on_step)
+            return self._move(chosen, self._read(chosen, batches=True), to, on_step)
 
     def compact(self, tier: str = "hot", least: int = 2) -> int:
         """Merges hot batches to one, the folders of each warm day to one, or all cold runs to one that
@@ -161,15 +166,47 @@ class Store:
                     days.setdefault(e.day, []).append(e)
                 entries = [e for own in days.values() if len(own) >= least for e in own]
             runs = [e for e in entries if not e.adopted]
-            return self._move(runs, self._read(runs), tier) if len(runs) >= least else 0
+            return self._move(runs, self._read(runs, batches=True), tier) if len(runs) >= least else 0
 
     def retain(self, latest: int, tier: str = "hot") -> int:
-        """Deletes all but the latest batches, days or runs of a tier. Returns the rows deleted."""
+        """Deletes all but the latest batches, days or runs of a tier. What has moved on to another tier
+        stays; see retain_batches(). Returns the rows deleted."""
         with self._moving, self._lock:
             gone = sorted(self._manifest.of(tier), key=lambda e: e.sequence, reverse=True)[max(0, latest) :]
             self._publish(gone, [])
             return sum(e.rows for e in gone)
 
+    def retain_batches(self, latest: int) -> int:
+        """Deletes all rows but those of the latest batches that hold any, whichever tier they lie in now
+        and whatever they were merged with. Rows whose batch is not known (adopted files, files written
+        before batches were) stay. Returns the rows deleted.
+
+        Entries of older batches go as a whole; only those that hold newer rows too are rewritten."""
+        with self._moving:
+            entries = [e for t in TIERS for e in self._manifest.of(t) if e.last_batch]
+            kept = sorted(self._latest_batches(entries, latest))
+            # Later ones, of an ingest meanwhile, stay too.
+            cut = kept[0] if kept else max((e.last_batch for e in entries), default=0) + 1
+            older = [e for e in entries if e.first_batch < cut]
+            mixed = [e for e in older if not 0 < e.first_batch <= e.last_batch < cut]
+            stays = (F.col(tiers.BATCH) >= cut) | (F.col(tiers.BATCH) == 0)
+            groups = [[e] for e in mixed if e.tier == "hot"] + [own for t in ("warm", "cold") if (own := [e for e in mixed if e.tier == t])]
+            added: list[Entry] = []
+            for own in groups:
+                rows = self._read(own, batches=True).where(stays)
+                new = self._write(rows, self.schema, own[0].tier)
+                if (written := sum(e.rows for e in new)) != (held := rows.count()):
+                    raise RuntimeError(f"{held} rows were to stay and {written} were written; nothing was published")
+                touched: dict[str | None, int] = {}
+                for e in own:
+                    touched[e.day] = max(e.touched, touched.get(e.day, 0))
+                for e in new:
+                    e.sequence, e.touched = max(old.sequence for old in own), touched.get(e.day, 0)
+                added += new
+            if older:
+                self._publish(older, added)
+            return sum(e.rows for e in older) - sum(e.rows for e in added)
+
     def adopt(self, *paths: str) -> None:
         """Adds Parquet files of an older layout to the cold tier, where they lie; they are counted."""
         if self.schema is None:
@@ -184,7 +221,7 @@ class Store:
             wanted = sorted({*self.config.cold_tier.bloom_filter_columns, *columns})
             self.config.cold_tier.bloom_filter_columns = wanted
             lacking = [e for e in self._manifest.of("cold") if not set(wanted) <= set(e.indexed)]
-            return sum(self._move([e], self._read([e]), "cold") for e in lacking)
+            return sum(self._move([e], self._read([e], batches=True), "cold") for e in lacking)
 
     def vacuum(self) -> list[str]:
         """Deletes folders that the manifest doesn't name: what a crash left, or a move that was cut
@@ -367,13 +404,25 @@ class Store:
     def _paths(self, entries: Sequence[Entry]) -> list[str]:
         return [e.path if e.adopted else self._at(e.path) for e in entries]
 
-    def _read(self, entries: Sequence[Entry], low: int | None = None, high: int | None = None) -> DataFrame:
-        """The rows of entries of one tier."""
+    def _latest_batches(self, entries: Sequence[Entry], latest: int) -> list[int]:
+        """So many of the highest batches of entries: the manifest knows those of unmixed ones."""
+        found = {e.first_batch for e in entries if e.first_batch == e.last_batch}
+        several = [e for e in entries if e.first_batch != e.last_batch]
+        if several and latest > 0:
+            parts = [self._read(own, batches=True).select(tiers.BATCH) for t in TIERS if (own := [e for e in several if e.tier == t])]
+            rows = reduce(DataFrame.unionByName, parts).distinct().orderBy(F.desc(tiers.BATCH)).limit(latest)
+            found |= {r[0] for r in rows.collect()}
+        return sorted(found - {0}, reverse=True)[: max(0, latest)]
+
+    def _read(self, entries: Sequence[Entry], low: int | None = None, high: int | None = None, batches: bool = False) -> DataFrame:
+        """The rows of entries of one tier; with batches, beside the batch of each, 0 where it is not known."""
         runs = [e for e in entries if e.tier == "cold" and not e.adopted]
         plain = [e for e in entries if e.tier != "cold" or e.adopted]
-        parts = [tiers.read_cold(self.spark, self.schema, self._at(self.config.storage.cold_path), self._paths(runs), low, high)] if runs else []
-        parts += [tiers.read_paths(self.spark, self.schema, self._paths(plain))] if plain or not runs else []
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        schema = self._with_batch(self.schema) if batches else self.schema
+        parts = [tiers.read_cold(self.spark, schema, self._at(self.config.storage.cold_path), self._paths(runs), low, high)] if runs else []
+        parts += [tiers.read_paths(self.spark, schema, self._paths(plain))] if plain or not runs else []
+        out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return out.withColumn(tiers.BATCH, F.coalesce(tiers.BATCH, F.lit(0))) if batches else out
 
     def _pin_of(self, tier: str) -> DataFrame | None:
         paths, frame = self._pinned.get(tier, (None, None))
@@ -389,12 +438,13 @@ class Store:
         if tier == "cold":
             name = f"{storage.cold_path}/{tiers.RUN}={uuid.uuid4().hex}"
             tiers.write_cold(df, self._at(name), self.time_column, self.config.cold_tier)
-            wide = T.StructType([*schema.fields, *(T.StructField(p, T.IntegerType()) for p in tiers.PARTS)])
-            rows, low, high = self.spark.read.schema(wide).parquet(self._at(name)).agg(*self._measures(schema)).first()
-            return [Entry("cold", name, rows, low, high, sequence, indexed=list(self.config.cold_tier.bloom_filter_columns))]
+            wide = T.StructType([*self._with_batch(schema).fields, *(T.StructField(p, T.IntegerType()) for p in tiers.PARTS)])
+            rows, low, high, first, last = self.spark.read.schema(wide).parquet(self._at(name)).agg(*self._measures(schema), *self._batches()).first()
+            return [Entry("cold", name, rows, low, high, sequence, indexed=list(self.config.cold_tier.bloom_filter_columns), first_batch=first, last_batch=last)]
         name, seen = name or f"{storage.landing_path}/{uuid.uuid4().hex}", Observation()
-        tiers.write_batch(df.observe(seen, *self._measures(schema)), self._at(name))
-        return [Entry("hot", name, seen.get["rows"], seen.get["low"], seen.get["high"], sequence)]  # measured while writing
+        tiers.write_batch(df.observe(seen, *self._measures(schema), *self._batches()), self._at(name))
+        found = seen.get  # measured while writing
+        return [Entry("hot", name, found["rows"], found["low"], found["high"], sequence, first_batch=found["first"], last_batch=found["last"])]
 
     def _write_arrow(self, table: pa.Table, name: str) -> tuple[int, int | None, int | None]:
         """Writes a batch that the driver holds, without a job: (rows, first and last time)."""
@@ -439,7 +489,7 @@ class Store:
         return moved
 
     def _rewrite_hot(self, entries: Sequence[Entry]) -> int:
-        added = self._write(self._read(entries), self.schema, "hot")
+        added = self._write(self._read(entries, batches=True), self.schema, "hot")
         for e in added:
             e.sequence = min(old.sequence for old in entries)
         self._publish(entries, added)
@@ -449,15 +499,21 @@ class Store:
         time, kind = F.col(f"`{self.time_column}`"), schema[self.time_column].dataType
         return [F.count(F.lit(1)).alias("rows"), *(micros_of(f(time), kind).alias(n) for n, f in (("low", F.min), ("high", F.max)))]
 
+    def _batches(self) -> list[Column]:
+        return [F.min(tiers.BATCH).alias("first"), F.max(tiers.BATCH).alias("last")]
+
+    def _with_batch(self, schema: T.StructType) -> T.StructType:
+        return T.StructType([*schema.fields, T.StructField(tiers.BATCH, T.LongType())])
+
     def _bounds(self, df: DataFrame) -> tuple[int, int | None, int | None]:
         rows, low, high = df.agg(*self._measures(df.schema)).first()
         return rows, low, high
 
     def _days(self, folder: str, schema: T.StructType, sequence: int) -> list[Entry]:
         """An entry for each day of a folder that write_days wrote; there are as many rows as days."""
-        wide = T.StructType([*schema.fields, T.StructField(tiers.DAY, T.StringType())])
-        days = self.spark.read.schema(wide).parquet(self._at(folder)).groupBy(tiers.DAY).agg(*self._measures(schema)).collect()
-        return [Entry("warm", f"{folder}/{tiers.DAY}={d[0]}", d[1], d[2], d[3], sequence, day=d[0]) for d in sorted(days)]
+        wide = T.StructType([*self._with_batch(schema).fields, T.StructField(tiers.DAY, T.StringType())])
+        days = self.spark.read.schema(wide).parquet(self._at(folder)).groupBy(tiers.DAY).agg(*self._measures(schema), *self._batches()).collect()
+        return [Entry("warm", f"{folder}/{tiers.DAY}={d[0]}", d[1], d[2], d[3], sequence, day=d[0], first_batch=d[4], last_batch=d[5]) for d in sorted(days)]
 
     def _oldest_batches(self) -> list[Entry]:
         batches = sorted(self._manifest.of("hot"), key=lambda e: (e.min_time is not None, e.min_time or 0, e.sequence))

@@ -21,6 +21,8 @@ from lamina.functions.moments import day, day_of, micros_of
 
 DAY, HOUR, RUN = "_lamina_day", "_lamina_hour", "_lamina_run"
 PARTS = ("_lamina_year", "_lamina_month", "_lamina_day")
+#: The batch that a row came with, in every file that the store writes; readers don't see it.
+BATCH = "_lamina_batch"
 #: Rows without a time are in no day; they get a partition of their own.
 NO_DAY = "none"
 

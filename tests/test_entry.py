@@ -44,6 +44,12 @@ def test_statistics_when_the_hot_tier_is_empty(spark, sf, monkeypatch, name):
     same(query(spark, sf), sql, sf)
 
 
+def test_latest_batches_when_the_hot_tier_is_empty(spark, sf, monkeypatch):
+    small_hot_tier(monkeypatch)
+    query, sql = registry.REGISTERED["store_keep_latest"]
+    same(query(spark, sf), sql, sf)
+
+
 def test_entry_and_names(spark, sf):
     assert driver.entry(spark).count() == 10
     assert set(driver.oracle_sql()) <= set(driver.queries())
