@@ -286,3 +286,25 @@ def test_load_command(spark, tmp_path, capsys):
     with Store(spark, str(tmp_path / "s"), background=True) as store:
         found = load.load(store, tables)
         assert found["rows"] == 2500 == store.query().count()
+
+
+@pytest.mark.parametrize("most, merge", [(25, 0), (60, 15), (1_000_000, 25_000)])
+def test_latest_batches_stay_wherever_their_rows_lie(spark, tmp_path, most, merge):
+    """Budgets and merges decide where rows lie, not which batches are the latest."""
+    store = open_store(spark, str(tmp_path / "s"), hot_tier={"max_records": most, "merge_rows": merge}, warm_tier={"max_memory_mb": 1, "bytes_per_record": 1_048_576 // 30})
+    fixtures.simple(spark, 4).withColumn("volume", F.lit(9).cast("long")).write.parquet(str(tmp_path / "old"))
+    for k in range(6):
+        rows = fixtures.simple(spark, 10).withColumn("volume", F.lit(k).cast("long"))
+        store.ingest(rows.toArrow() if k % 2 else rows)
+        if k == 2:
+            store.adopt(str(tmp_path / "old"))
+            store.ingest(rows.limit(0))
+    store.migrate("warm", rows=1)
+    store = open_store(spark, store.path)
+    found = lambda: sorted(r[:] for r in store.query().groupBy("volume").count().collect())
+    assert store.retain_batches(6) == 0
+    assert store.retain_batches(2) == 40 and found() == [(4, 10), (5, 10), (9, 4)] and store.audit_tiers().count() == 0
+    assert store.retain_batches(2) == 0
+    store.ingest(fixtures.simple(spark, 10).withColumn("volume", F.lit(6).cast("long")))
+    assert store.retain_batches(2) == 10 and found() == [(5, 10), (6, 10), (9, 4)]
+    assert store.retain_batches(0) == 20 and found() == [(9, 4)]
