@@ -194,7 +194,7 @@ class Store:
             added: list[Entry] = []
             for own in groups:
                 rows = self._read(own, batches=True).where(stays)
-                new = self._write(rows, self.schema, own[0].tier)
+                new = self._write(rows, self.schema, own[0].tier, rows=sum(e.rows for e in own))
                 if (written := sum(e.rows for e in new)) != (held := rows.count()):
                     raise RuntimeError(f"{held} rows were to stay and {written} were written; nothing was published")
                 touched: dict[str | None, int] = {}
@@ -428,8 +428,8 @@ class Store:
         paths, frame = self._pinned.get(tier, (None, None))
         return frame if paths == frozenset(e.path for e in self._manifest.of(tier)) else None
 
-    def _write(self, df: DataFrame, schema: T.StructType, tier: str, name: str | None = None) -> list[Entry]:
-        """Writes rows as new files of a tier: the entries for them."""
+    def _write(self, df: DataFrame, schema: T.StructType, tier: str, name: str | None = None, rows: int = 0) -> list[Entry]:
+        """Writes rows (so many, where that is known) as new files of a tier: the entries for them."""
         storage, sequence = self.config.storage, self._manifest.sequence
         if tier == "warm":
             folder = f"{storage.warm_path}/{uuid.uuid4().hex}"
@@ -437,10 +437,10 @@ class Store:
             return self._days(folder, schema, sequence)
         if tier == "cold":
             name = f"{storage.cold_path}/{tiers.RUN}={uuid.uuid4().hex}"
-            tiers.write_cold(df, self._at(name), self.time_column, self.config.cold_tier)
-            wide = T.StructType([*self._with_batch(schema).fields, *(T.StructField(p, T.IntegerType()) for p in tiers.PARTS)])
-            rows, low, high, first, last = self.spark.read.schema(wide).parquet(self._at(name)).agg(*self._measures(schema), *self._batches()).first()
-            return [Entry("cold", name, rows, low, high, sequence, indexed=list(self.config.cold_tier.bloom_filter_columns), first_batch=first, last_batch=last)]
+            seen = Observation()
+            tiers.write_cold(df, self._at(name), self.time_column, self.config.cold_tier, seen, [*self._measures(schema), *self._batches()], rows)
+            found = seen.get
+            return [Entry("cold", name, found["rows"], found["low"], found["high"], sequence, indexed=list(self.config.cold_tier.bloom_filter_columns), first_batch=found["first"], last_batch=found["last"])]
         name, seen = name or f"{storage.landing_path}/{uuid.uuid4().hex}", Observation()
         tiers.write_batch(df.observe(seen, *self._measures(schema), *self._batches()), self._at(name))
         found = seen.get  # measured while writing
@@ -480,7 +480,7 @@ class Store:
     def _move(self, chosen: Sequence[Entry], source: DataFrame, to: str, on_step: Callable[[str], None] = lambda step: None) -> int:
         with self._lock:
             self._manifest.sequence += 1
-        added = self._write(source, self.schema, to)
+        added = self._write(source, self.schema, to, rows=sum(e.rows for e in chosen))
         if (moved := sum(e.rows for e in added)) != (held := sum(e.rows for e in chosen)):
             raise RuntimeError(f"{held} rows were to move and {moved} arrived; nothing was published")
         on_step("written")

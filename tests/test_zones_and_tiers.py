@@ -308,3 +308,27 @@ def test_latest_batches_stay_wherever_their_rows_lie(spark, tmp_path, most, merg
     store.ingest(fixtures.simple(spark, 10).withColumn("volume", F.lit(6).cast("long")))
     assert store.retain_batches(2) == 10 and found() == [(5, 10), (6, 10), (9, 4)]
     assert store.retain_batches(0) == 20 and found() == [(9, 4)]
+
+
+def test_small_caps_are_the_work_of_many_tasks(spark, tmp_path, monkeypatch):
+    """Many files of few rows: dealt by number, capped, sorted, and the same rows in every type."""
+    monkeypatch.setattr("lamina.sources.tiers.FILES_OF_TASK", 10, raising=False)
+    at = "CASE WHEN id % 10 < 9 THEN timestamp_seconds(1700000000 + 40000 * (id % 4)) END"
+    rows = spark.range(120).selectExpr(
+        f"{at} AS t", f"CAST({at} AS TIMESTAMP_NTZ) AS n", "id AS k", "-id AS `a b`", "CAST(id AS DECIMAL(20, 3)) AS d", "CASE WHEN id % 3 > 0 THEN CAST(id AS STRING) END AS s",
+        "CAST(CAST(id AS STRING) AS BINARY) AS b", "id % 2 = 0 AS o", "DATE '1969-12-31' + CAST(id AS INT) AS day", "CASE id WHEN 5 THEN double('NaN') ELSE id / 7 END AS f",
+    )
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        store = open_store(spark, str(tmp_path / "s"), "t", warm_tier={"enabled": False}, cold_tier={"max_records_per_file": 2, "compression": "gzip", "sort_columns": ["a b"]})
+        store.ingest(rows)
+        assert store.migrate("hot") == 120 and store.audit_tiers().count() == 0
+        assert store.query().exceptAll(rows).count() == 0 and store.query().count() == 120
+        found = store.query().select("a b", F.input_file_name().alias("file")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    files: dict = {}
+    for value, file in found:
+        files.setdefault(file.rpartition("/")[2], []).append(value)
+    assert all(len(v) <= 2 and v == sorted(v) and f.endswith(".gz.parquet") for f, v in files.items())
+    assert len({f.split("-")[1] for f in files}) > 3
